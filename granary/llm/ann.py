@@ -24,7 +24,7 @@ from .common import staged
 #: stops going up (each vector counted once).
 TREES, BITS, PART = 128, 32, 0.35
 #: So many candidates are taken at least, or all of a smaller block.
-LEAST = 512
+LEAST = 1024
 #: Vectors of a block of the index and of a block of queries.
 BLOCK, QUERIES = 8192, 2048
 SEED = 20
