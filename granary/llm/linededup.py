@@ -21,47 +21,53 @@ EDITS, MIN_CHARS = 1, 16
 _TWO32 = 1 << 32
 
 
-def _segment(n: int | Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of n characters: the last n mod parts are longer by 1."""
-    base = F.floor(n / parts).cast("int")
-    longer = (n % parts).cast("int")
-    start = base * i + F.greatest(F.lit(0), longer - (parts - i))
-    return start, base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
+def _cuts(edits: int) -> dict[str, Column]:
+    """Columns base_k and more_k for each k to `edits`: the length of a segment of a line of n - k characters, and how
+    many of its last segments have one more."""
+    parts = edits + 1
+    return {f"base_{k}": F.expr(f"int((n - {k}) div {parts})") for k in range(parts)} | {f"more_{k}": F.expr(f"int((n - {k}) % {parts})") for k in range(parts)}
 
 
-def _key(n: Column, i: int, content: Column) -> Column:
-    return F.xxhash64(n.cast("int"), F.lit(i), content)
+def _segment(i: int, shorter: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment i of a line of n - shorter characters."""
+    base, more = F.col(f"base_{shorter}"), F.col(f"more_{shorter}")
+    if i == 0:
+        return F.lit(0), base + (more >= parts).cast("int")
+    start = base * i + F.greatest(F.lit(0), more - (parts - i))
+    return start, base + (more >= parts - i).cast("int")
 
 
-def _index_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the line's own segments."""
-    parts = edits + 1
+def _key(shorter: int, i: int, content: Column) -> Column:
+    return F.xxhash64(F.col("n") - shorter, F.lit(i), content)
+
+
+def _index_keys(edits: int) -> Column:
+    """Keys of a line's own segments; columns line, n and those of _cuts."""
     out = []
-    for i in range(parts):
-        start, length = _segment(n, i, parts)
-        out.append(_key(n, i, F.substring(line, start + 1, length)))
+    for i in range(edits + 1):
+        start, length = _segment(i, 0, edits + 1)
+        out.append(_key(0, i, F.substring("line", start + 1, length)))
     return F.array(*out)
 
 
-def _probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of all substrings that may be a segment of an indexed line of n - edits to n characters.
+def _probe_keys(edits: int) -> Column:
+    """Keys, or nulls, of all substrings that may be a segment of an indexed line of n - edits to n characters.
 
     The segment with number i (from 0) is the first unchanged one: at most i edits lie before it and at most
     edits - i after it, and the shifts on both sides add up to the difference of the lengths.
     """
-    parts = edits + 1
-    out = []
+    parts, out = edits + 1, []
     for shorter in range(edits + 1):
-        m = n - shorter
         for i in range(parts):
-            start, length = _segment(m, i, parts)
+            start, length = _segment(i, shorter, parts)
             for shift in range(-edits, edits + 1):
                 before, after = abs(shift), abs(shorter - shift)
                 if before <= i and after <= edits - i:
-                    at = start + shift
-                    fits = (at >= 0) & (at + length <= n) & (m > 0)
-                    out.append(F.when(fits, _key(m, i, F.substring(line, at + 1, length))))
-    return F.array_compact(F.array(*out))
+                    key = _key(shorter, i, F.substring("line", start + (shift + 1), length))
+                    # a shift to the left may begin before the line, one to the right may end after it
+                    fits = start >= -shift if shift < 0 else start + length + shift <= F.col("n") if shift > 0 else F.col("n") > shorter
+                    out.append(key if not shift and not shorter else F.when(fits, key))
+    return F.array(*out)
 
 
 def edit_distance_at_most(a: Column, b: Column, edits: int) -> Column:
@@ -75,79 +81,92 @@ def edit_distance_at_most(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     full = (1 << width) - 1
     long = lambda x: F.lit(x).cast("long")
-    x, y = F.split(a, ""), F.split(b, "")
     n, m = F.char_length(a), F.char_length(b)
 
-    def step(acc: Column, j: Column) -> Column:
+    def step(acc: Column, j: Column, s: Column) -> Column:
         # j counts from 1; a's characters on the band are j - edits .. j + edits, and get() gives null outside
-        c = F.get(acc["y"], j - 1)
+        c = F.get(s["y"], j - 1)
         eq = None
         for i in range(width):
-            bit = F.when(F.coalesce(F.get(acc["x"], j - 1 - edits + i) == c, F.lit(False)), long(1 << i)).otherwise(long(0))
+            bit = F.when(F.coalesce(F.get(s["x"], j - 1 - edits + i) == c, F.lit(False)), long(1 << i)).otherwise(long(0))
             eq = bit if eq is None else eq.bitwiseOR(bit)
 
-        def next_(v: Column) -> Column:
+        def moved(v: Column) -> Column:
             d, vp, vn = v["d"], acc["vp"], acc["vn"]
             hp = vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(vp)).bitwiseAND(long(full)))
             hn = d.bitwiseAND(vp)
             down = F.shiftright(d, 1)
-            at = edits * 2 - (j - (acc["n"] - edits))  # the bit of a's last row, once the band has passed it
+            at = edits * 2 - (j - (n - edits))  # the bit of a's last row, once the band has passed it
             bit = lambda z: F.call_function("shiftright", z, at).bitwiseAND(long(1))
-            cost = F.when(j <= acc["n"] - edits, F.lit(1) - F.shiftright(d, 2 * edits).bitwiseAND(long(1))).otherwise(F.when(at >= 0, bit(hp) - bit(hn)).otherwise(0))
-            return F.struct(
-                acc["x"].alias("x"), acc["y"].alias("y"), acc["n"].alias("n"),
-                hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(long(full))).alias("vp"),
-                down.bitwiseAND(hp).alias("vn"),
-                (acc["dist"] + cost).cast("long").alias("dist"),
-            )
-
-        e = lambda q: q["e"]
-        d = lambda q: e(q).bitwiseAND(acc["vp"]).cast("long")
-        zero = F.transform(F.array(F.struct(eq.alias("e"))), lambda q: F.struct(((d(q) + acc["vp"]).bitwiseXOR(acc["vp"])).bitwiseOR(e(q)).bitwiseOR(acc["vn"]).bitwiseAND(long(full)).alias("d")))
-        moved = F.get(F.transform(zero, next_), F.lit(0))
-        return F.when(acc["dist"] > 3 * edits + 1, acc).otherwise(moved)  # the end can lower it by 2 * edits at most
-
-    start = F.struct(x.alias("x"), y.alias("y"), n.alias("n"), long((full >> edits) << edits).alias("vp"), long(0).alias("vn"), long(edits).alias("dist"))
-    run = F.aggregate(F.sequence(F.lit(1), m), start, step, lambda acc: acc["dist"])
+            cost = F.when(j <= n - edits, F.lit(1) - F.shiftright(d, 2 * edits).bitwiseAND(long(1))).otherwise(F.when(at >= 0, bit(hp) - bit(hn)).otherwise(0))
+            return F.struct(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(long(full))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (acc["dist"] + cost).cast("long").alias("dist"))
+
+        d = lambda q: ((q.bitwiseAND(acc["vp"]) + acc["vp"]).bitwiseXOR(acc["vp"])).bitwiseOR(q).bitwiseOR(acc["vn"]).bitwiseAND(long(full))
+        zero = F.transform(F.array(eq), lambda q: F.struct(d(q).alias("d")))  # an array of one names a value that is used often
+        # the end can lower the distance by 2 * edits at most
+        return F.when(acc["dist"] > 3 * edits + 1, acc).otherwise(F.get(F.transform(zero, moved), F.lit(0)))
+
+    # the character arrays stay out of the state, which is copied at each step
+    start = F.struct(long((full >> edits) << edits).alias("vp"), long(0).alias("vn"), long(edits).alias("dist"))
+    both = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    run = F.get(F.transform(both, lambda s: F.aggregate(F.sequence(F.lit(1), m), start, lambda acc, j: step(acc, j, s), lambda acc: acc["dist"])), F.lit(0))
     short = F.greatest(n, m) <= edits
     return F.when(F.abs(n - m) > edits, F.lit(False)).when(short, F.lit(True)).when(F.least(n, m) == 0, F.lit(False)).when(n < edits, F.levenshtein(a, b) <= edits).otherwise(run <= edits)
 
 
-def _plan(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """texts: doc_id, text of the rows with both; firsts: doc, at of each distinct line's first occurrence; links.
+def _trimmed(a: Column, b: Column) -> Column:
+    """Structs of a and b without (most of) their common beginning and end, which the distance doesn't depend on: while the
+    first or last half of the shorter one is common, it goes."""
+    state = F.array(F.struct(a.alias("a"), b.alias("b")))
+    for _ in range(7):
+
+        def less(s: Column, end: bool) -> Column:
+            half = F.floor(F.least(F.char_length(s["a"]), F.char_length(s["b"])) / 2).cast("int")
+            part = (lambda x: F.right(x, half)) if end else (lambda x: F.left(x, half))
+            rest = (lambda x: F.left(x, F.char_length(x) - half)) if end else (lambda x: F.substring(x, half + 1, F.char_length(x)))
+            return F.when((half > 0) & (part(s["a"]) == part(s["b"])), F.struct(rest(s["a"]).alias("a"), rest(s["b"]).alias("b"))).otherwise(s)
+
+        state = F.transform(F.transform(state, lambda s: less(s, False)), lambda s: less(s, True))
+    return state
+
+
+def _plan(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """by_doc: doc, ats (places of first occurrences); links: a, b (doc, at).
 
     The texts are shuffled by doc_id once: the keys, the candidates' lines and the last step use the same
     exchange, and what joins it is the small side that is hashed (a few bytes a line).
     """
-    texts = docs.select("doc_id", "text")
-    lines = texts.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= min_chars)
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= min_chars)
     wide = F.lit(1 << 32).cast("decimal(11,0)")
     occ = (F.col("doc_id").cast("decimal(19,0)") * wide + F.col("at").cast("decimal(10,0)")).cast("decimal(38,0)")
     firsts = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), occ.alias("occ")).groupBy("h1", "h2").agg(F.min("occ").alias("occ"))
-    firsts = firsts.select(F.floor(F.col("occ") / wide).cast("long").alias("doc"), F.pmod("occ", wide).cast("int").alias("at"))
-
-    def lines_at(places: DataFrame) -> DataFrame:
-        """places (doc, at) with their lines."""
-        by_doc = places.groupBy("doc").agg(F.collect_list("at").alias("ats")).hint("shuffle_hash")
-        own = texts.join(by_doc, F.col("doc_id") == F.col("doc")).select("doc", F.split("text", "\n").alias("lines"), F.explode("ats").alias("at"))
-        return own.select("doc", "at", F.get("lines", F.col("at")).alias("line"))
-
-    reps, n = lines_at(firsts), F.char_length("line")
-    index = reps.select(F.col("doc").alias("di"), F.col("at").alias("li"), F.explode(_index_keys(F.col("line"), n, edits)).alias("key"))
-    probe = reps.select(F.col("doc").alias("dp"), F.col("at").alias("lp"), F.explode(_probe_keys(F.col("line"), n, edits)).alias("key"))
+    by_doc = firsts.select(F.floor(F.col("occ") / wide).cast("long").alias("doc"), F.pmod("occ", wide).cast("int").alias("at")).groupBy("doc").agg(F.collect_list("at").alias("ats"))
+
+    def lines_at(asked: DataFrame) -> DataFrame:
+        """asked (doc, asked: structs with at) with the lines: doc, asked, line."""
+        own = texts.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"))
+        # one split a text, and each line once: exploding the places beside the lines would copy all lines to every place
+        picked = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("asked", lambda x: F.struct(x.alias("asked"), F.get(lines, x["at"]).alias("line"))))
+        return own.select("doc", F.explode(F.get(picked, F.lit(0))).alias("_l")).select("doc", "_l.asked", "_l.line")
+
+    reps = lines_at(by_doc.select("doc", F.transform("ats", lambda k: F.struct(k.alias("at"))).alias("asked"))).select("doc", "asked.at", "line")
+    reps = reps.withColumn("n", F.char_length("line")).withColumns(_cuts(edits))
+    index = reps.select(F.col("doc").alias("di"), F.col("at").alias("li"), F.explode(_index_keys(edits)).alias("key"))
+    probe = reps.select(F.col("doc").alias("dp"), F.col("at").alias("lp"), F.explode(_probe_keys(edits)).alias("key")).where("key is not null")
     met = index.join(probe, (index.key == probe.key) & ((F.col("di") != F.col("dp")) | (F.col("li") != F.col("lp"))))
     i, p = F.struct(F.col("di").alias("doc"), F.col("li").alias("at")), F.struct(F.col("dp").alias("doc"), F.col("lp").alias("at"))
     pairs = met.select(F.least(i, p).alias("a"), F.greatest(i, p).alias("b")).distinct()
-    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    text = lines_at(ends)
-    side = lambda s: text.select(F.struct("doc", "at").alias(s), F.col("line").alias(f"t{s}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(edit_distance_at_most(F.col("ta"), F.col("tb"), edits)).select("a", "b")
-    return texts, firsts, links
+    end = lambda x, k: F.struct(F.col(f"{x}.doc").alias("doc"), F.struct(F.col(f"{x}.at").alias("at"), "a", "b", F.lit(k).alias("end")).alias("ask"))
+    asked = pairs.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("e")).groupBy(F.col("e.doc").alias("doc")).agg(F.collect_list("e.ask").alias("asked"))
+    found = lines_at(asked).groupBy("asked.a", "asked.b").agg(F.max(F.when(F.col("asked.end") == 0, F.col("line"))).alias("ta"), F.max(F.when(F.col("asked.end") == 1, F.col("line"))).alias("tb"))
+    near = F.get(F.transform(_trimmed(F.col("ta"), F.col("tb")), lambda s: edit_distance_at_most(s["a"], s["b"], edits)), F.lit(0))
+    return by_doc, found.where(near).select("a", "b")
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """a, b: the first occurrences (doc, at) of each two different lines within `edits` edits, a before b."""
-    return _plan(docs, edits, min_chars)[2]
+    return _plan(docs, edits, min_chars)[1]
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -159,23 +178,27 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     a doc_id count as the same place, so they keep the same lines. A null text stays null, with zeros; a row of a null
     doc_id is left alone. All other columns stay; an empty table gives an empty one.
     """
-    texts, firsts, links = _plan(docs, edits, min_chars)
-    lost = links.select("b.*").distinct().withColumn("lost", F.lit(True))
-    kept = firsts.join(lost, ["doc", "at"], "left").groupBy("doc").agg(F.collect_list(F.when(F.col("lost").isNull(), F.col("at"))).alias("_ats"), F.count("*").alias("_firsts"))
-    linked = links.select("a.*").unionAll(links.select("b.*")).groupBy("doc").agg(F.count("*").alias("_links"))
-    kept = kept.join(linked, "doc", "left").select(F.col("doc").alias("_doc"), "_ats", "_firsts", "_links")
-    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").withColumn("_lines", F.split("text", "\n"))
+    by_doc, links = _plan(docs, edits, min_chars)
+    ends = F.explode(F.array(F.struct(F.col("a.doc"), F.col("a.at"), F.lit(False).alias("lost")), F.struct(F.col("b.doc"), F.col("b.at"), F.lit(True).alias("lost"))))
+    linked = links.select(ends.alias("e")).groupBy(F.col("e.doc").alias("_linked")).agg(F.collect_set(F.when(F.col("e.lost"), F.col("e.at"))).alias("_lost"), F.count("*").alias("_links"))
+    firsts = by_doc.select(F.col("doc").alias("_doc"), F.col("ats").alias("_ats"))
+    known = docs.where("doc_id is not null").join(firsts.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").join(linked.hint("shuffle_hash"), F.col("doc_id") == F.col("_linked"), "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    nameless = docs.where("doc_id is null").withColumns({"_doc": none("long"), "_ats": none("array<int>"), "_linked": none("long"), "_lost": none("array<int>"), "_links": none("long")})
+    out = known.unionByName(nameless).withColumn("_lines", F.split("text", "\n"))
     count = F.size("_lines")
     short = F.filter(F.sequence(F.lit(0), count - 1), lambda k: F.char_length(F.get("_lines", k)) < min_chars)
-    out = out.withColumn("_short", short)
-    out = out.withColumn("_stay", F.concat("_short", F.coalesce("_ats", F.array().cast("array<int>"))))
+    nothing = F.array().cast("array<int>")
+    out = out.withColumns({"_short": short, "_own": F.array_except(F.coalesce("_ats", nothing), F.coalesce("_lost", nothing))})
+    out = out.withColumn("_stay", F.concat("_short", "_own"))
     rest = F.array_join(F.transform(F.array_sort("_stay"), lambda k: F.get("_lines", k)), "\n")
     known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     zero = lambda x: F.when(known, F.coalesce(x, F.lit(0))).otherwise(0).cast("long")
+    firsts_n = F.when(F.col("_ats").isNull(), 0).otherwise(F.size("_ats"))
     return out.select(
         *[F.when(known & (F.size("_stay") < count), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
-        zero(count - F.size("_short") - F.coalesce("_firsts", F.lit(0))).alias("n_exact"),
-        zero(F.col("_firsts") - F.size("_ats")).alias("n_near"),
+        zero(count - F.size("_short") - firsts_n).alias("n_exact"),
+        zero(firsts_n - F.size("_own")).alias("n_near"),
         zero(F.col("_links")).alias("n_links"),
     )
