@@ -1,0 +1 @@
+"""Archives, packages and compressed streams as typed, verified Spark tables."""
