@@ -44,12 +44,17 @@ def _doc_archives(spark: SparkSession, sf_dir: str, write) -> DataFrame:
     return _packed(d, F.concat_ws("/", "source", F.concat("doc_id", F.lit(".txt"))), F.col("text"), write, F.col("doc_id"))
 
 
-_ID, _SOURCE = F.regexp_extract("name", r"(\d+)\.txt$", 1).cast("long"), F.regexp_extract("name", "^([^/]*)/", 1)
+def _id() -> Column:
+    return F.regexp_extract("name", r"(\d+)\.txt$", 1).cast("long")
+
+
+def _source() -> Column:
+    return F.regexp_extract("name", "^([^/]*)/", 1)
 
 
 def _digests(contents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, sha of each member."""
-    return contents.select(_ID.alias("doc_id"), F.col("size").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
+    return contents.select(_id().alias("doc_id"), F.col("size").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
 
 
 _DIGESTS = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS sha FROM documents"
@@ -58,14 +63,14 @@ _DIGESTS = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text)
 def zip_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members, bytes and distinct contents by source, from verified ZIP members."""
     c = tables.contents(_doc_archives(spark, sf_dir, lambda _, m: authoring.zip_archive(m)), "zip")
-    c = c.select(_SOURCE.alias("source"), "size", F.sha2("content", 256).alias("sha"))
+    c = c.select(_source().alias("source"), "size", F.sha2("content", 256).alias("sha"))
     return c.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.countDistinct("sha").alias("uniq"))
 
 
 def zip_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ZIP headers alone: sizes, check sums' presence, kinds, methods."""
     e = tables.entries(_doc_archives(spark, sf_dir, lambda _, m: authoring.zip_archive(m)), "zip")
-    return e.select(_ID.alias("doc_id"), "size", "compression_method", "encryption", "is_directory", "is_safe_path", (F.col("crc32") >= 0).alias("has_crc"), F.col("modified.year").alias("year"))
+    return e.select(_id().alias("doc_id"), "size", "compression_method", "encryption", "is_directory", "is_safe_path", (F.col("crc32") >= 0).alias("has_crc"), F.col("modified.year").alias("year"))
 
 
 def _zip_method(method: int):
