@@ -4,7 +4,8 @@ A line is cut into k + 1 segments of near equal length (k: the edits allowed). I
 of a line x that is no shorter, one of y's segments stands unchanged in x, at a place that differs from its own
 by at most as many characters as the edits to its left and right allow. So y's segments go into
 an index keyed by length, segment number and content; x probes it with the few substrings that may match,
-for each length from n - k to n; candidates are verified by a banded bit-parallel edit distance whose band of 2k + 1
+for each length from n - k to n. For one edit both sides carry a sketch of the other half, which thins out what lines of
+near copies share a segment before a pair is made. Candidates are verified by a banded bit-parallel edit distance whose band of 2k + 1
 diagonals is one word of bits.
 
 A line's occurrence goes when an earlier occurrence (by doc_id, then line number) of the same line or of a
@@ -41,12 +42,47 @@ def _key(shorter: int, i: int, content: Column) -> Column:
     return F.xxhash64(F.col("n") - shorter, F.lit(i), content)
 
 
+def _rest(i: int, start: Column, length: Column, edits: int) -> tuple[Column, Column]:
+    """Start and end of what a matching segment leaves of the line; for one edit that is the other half."""
+    return (start + length, F.col("n")) if i == 0 else (F.lit(0), start)
+
+
+def _sketch(start: Column, end: Column, shorter: int, indexed: bool) -> Column:
+    """Hashes, of 10 bits each, of the four quarters of the other half, to tell without the text that one edit can't
+    do: all quarters but one must be equal, those before it seen from the front and those after it from the end.
+
+    An indexed line has its four quarters; a probe, which is longer by `shorter` characters there, has the first three
+    from the front and the last three from the end.
+    """
+    size = end - start - shorter
+    cut = [F.expr("0")] + [F.floor(size * k / 4).cast("int") for k in (1, 2, 3)] + [size]
+    part = lambda k, shift: F.hash(F.substring("line", start + cut[k] + (shift + 1), cut[k + 1] - cut[k])).bitwiseAND(1023).cast("long")
+    front = [part(k, 0) for k in range(4 if indexed else 3)]
+    parts = front if indexed else front + [x if not shorter else part(k, shorter) for k, x in zip((1, 2, 3), [*front[1:], part(3, 0)])]
+    out = parts[0]
+    for k, x in enumerate(parts[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(x, 10 * k))
+    return out
+
+
+def _one_edit_may_do(i: Column, p: Column) -> Column:
+    """Whether sketches of an indexed line and of a probe leave room for one edit in one quarter."""
+    same = lambda a, b: F.shiftright(i, 10 * a).bitwiseXOR(F.shiftright(p, 10 * b)).bitwiseAND(1023) == 0
+    first, second, third, late_second, late_third, last = same(0, 0), same(1, 1), same(2, 2), same(1, 3), same(2, 4), same(3, 5)
+    return (late_second & late_third & last) | (first & late_third & last) | (first & second & last) | (first & second & third)
+
+
+def _entry(key: Column, sketch: Column | None) -> Column:
+    return F.struct(key.alias("key"), *([sketch.alias("sketch")] if sketch is not None else []))
+
+
 def _index_keys(edits: int) -> Column:
     """Keys of a line's own segments; columns line, n and those of _cuts."""
     out = []
     for i in range(edits + 1):
         start, length = _segment(i, 0, edits + 1)
-        out.append(_key(0, i, F.substring("line", start + 1, length)))
+        sketch = _sketch(*_rest(i, start, length, edits), 0, True) if edits == 1 else None
+        out.append(_entry(_key(0, i, F.substring("line", start + 1, length)), sketch))
     return F.array(*out)
 
 
@@ -66,7 +102,8 @@ def _probe_keys(edits: int) -> Column:
                     key = _key(shorter, i, F.substring("line", start + (shift + 1), length))
                     # a shift to the left may begin before the line, one to the right may end after it
                     fits = start >= -shift if shift < 0 else start + length + shift <= F.col("n") if shift > 0 else F.col("n") > shorter
-                    out.append(key if not shift and not shorter else F.when(fits, key))
+                    sketch = _sketch(*_rest(i, start + shift, length, edits), shorter, False) if edits == 1 else None
+                    out.append(_entry(key if not shift and not shorter else F.when(fits, key), sketch))
     return F.array(*out)
 
 
@@ -152,9 +189,12 @@ def _plan(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataF
 
     reps = lines_at(by_doc.select("doc", F.transform("ats", lambda k: F.struct(k.alias("at"))).alias("asked"))).select("doc", "asked.at", "line")
     reps = reps.withColumn("n", F.char_length("line")).withColumns(_cuts(edits))
-    index = reps.select(F.col("doc").alias("di"), F.col("at").alias("li"), F.explode(_index_keys(edits)).alias("key"))
-    probe = reps.select(F.col("doc").alias("dp"), F.col("at").alias("lp"), F.explode(_probe_keys(edits)).alias("key")).where("key is not null")
-    met = index.join(probe, (index.key == probe.key) & ((F.col("di") != F.col("dp")) | (F.col("li") != F.col("lp"))))
+    index = reps.select(F.col("doc").alias("di"), F.col("at").alias("li"), F.explode(_index_keys(edits)).alias("e")).select("di", "li", "e.*")
+    probe = reps.select(F.col("doc").alias("dp"), F.col("at").alias("lp"), F.explode(_probe_keys(edits)).alias("e")).select("dp", "lp", "e.*").where("key is not null")
+    on = (index.key == probe.key) & ((F.col("di") != F.col("dp")) | (F.col("li") != F.col("lp")))
+    if edits == 1:
+        on = on & _one_edit_may_do(index.sketch, probe.sketch)
+    met = index.join(probe, on)
     i, p = F.struct(F.col("di").alias("doc"), F.col("li").alias("at")), F.struct(F.col("dp").alias("doc"), F.col("lp").alias("at"))
     pairs = met.select(F.least(i, p).alias("a"), F.greatest(i, p).alias("b")).distinct()
     end = lambda x, k: F.struct(F.col(f"{x}.doc").alias("doc"), F.struct(F.col(f"{x}.at").alias("at"), "a", "b", F.lit(k).alias("end")).alias("ask"))
