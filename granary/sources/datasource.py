@@ -112,4 +112,6 @@ class ArchiveReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Registers the source; it needs filter pushdown for Python sources, which this turns on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArchiveSource)
