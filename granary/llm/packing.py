@@ -8,6 +8,9 @@ The program has one row a class, so the driver's part has the same size for any
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 
 import numpy as np
@@ -19,8 +22,8 @@ from .common import clean, mapped, running, staged, sub_bits
 
 #: Tokens of a sequence, tokens of a length class, id that ends a document.
 TOKENS, GRAIN, END = 2048, 8, 1
-#: Tokenized words kept in memory by a task.
-CACHE = 300_000
+#: Tokenized words kept in memory by a Python worker.
+CACHE = 400_000
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -97,33 +100,61 @@ def patterns(demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tupl
     return out
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, rid: the documents' tokens and the end id, cut every `tokens` ids.
+#: Characters of which lower case, composition and letter classes mean the same here and in the tokenizer: ASCII, and Latin
+#: letters that are one code point, without the dotted capital I.
+_ODD = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u2018\u2019\u201c\u201d\u2013\u2014\u2026]")
+#: The tokenizer's words within such text: endings after an apostrophe, runs of letters, digits one by one, runs of the rest.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class Encoder:
+    """Ids of texts as little-endian 32-bit bytes, the same as the tokenizer's.
 
-    White space separates tokens in this vocabulary, so a text's ids are those of its words one after another; each
-    word is tokenized once a task and remembered, up to a bound.
+    Tokens don't cross words, so each word is tokenized once and remembered, up to a bound. Texts with characters whose words this
+    module can't tell, or with the start of a special token, are cut at white space alone, at which the tokenizer
+    always cuts.
     """
 
-    def start():
+    def __init__(self, file: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer, ended = Tokenizer.from_file(tokenizer_file), np.array([end], "<u4").tobytes()
-        known: dict[str, bytes] = {}
+        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+
+    def words(self, text: str) -> list[str]:
+        if _ODD.search(text) or "<|" in text:
+            return text.translate(SPACES).split(" ")
+        return _WORDS.findall(text.lower())
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.words(t or "") for t in texts]
+        new = [w for w in set().union(*split) if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known = {}
+            new = list(set().union(*split))
+        for at in range(0, len(new), 4096):
+            for w, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        find = self.known.__getitem__
+        return [b"".join(map(find, words)) for words in split]
 
-        def ids_of(texts: list[str | None]) -> list[bytes]:
-            split = [(t or "").translate(SPACES).split(" ") for t in texts]
-            new = list({w for words in split for w in words if w not in known})
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({w for words in split for w in words})
-            for at in range(0, len(new), 4096):
-                for w, e in zip(new[at : at + 4096], tokenizer.encode_batch(new[at : at + 4096], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            return [b"".join([known[w] for w in words]) + ended for words in split]
+
+@functools.cache
+def encoder(file: str) -> Encoder:
+    """One encoder for a Python worker, whose tasks share what it remembers."""
+    return Encoder(file)
+
+
+def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int = END) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, rid: the documents' tokens and the end id, cut every `tokens` ids."""
+
+    def start():
+        ids_of, ended = encoder(tokenizer_file), np.array([end], "<u4").tobytes()
 
         def run(rows: dict[str, list]) -> dict[str, list]:
             out = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             for doc_id, ids in zip(rows["doc_id"], ids_of(rows["text"])):
+                ids += ended
                 total = len(ids) // 4
                 for a in range(0, total, tokens):
                     part = ids[4 * a : 4 * (a + tokens)]

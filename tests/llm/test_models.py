@@ -104,6 +104,17 @@ def test_patterns_cover_the_demand():
         assert sum(t for t, _ in plan) <= least * 1.02 + 2
 
 
+def test_encoder_is_the_tokenizer():
+    rng = random.Random(12)
+    plain = "abcXYZ 019'\"!?.,_-<|>\t\n\x0bäÖßıſñÉ’—…sStTrReEvVmMlLdD²½ªµ×÷"
+    odd = plain + "İΣςａ\u0301\u00a0\x1c\x85\u3000日本\U0001f600ﬁẞ"
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 60))) for a in (plain, odd) for _ in range(2000)]
+    texts += ["I'll we've they're it's don't I'm he'd 's 'S ''s !'s", "<|endoftext|>a<|startoftext|>", "ÀÉ" * 50, "ΑΣ ΣΑΣ", "a_b __ _1", "ﬀ ²3"]
+    want = Tokenizer.from_file(TOKENS).encode_batch(texts, add_special_tokens=False)
+    for t, got, e in zip(texts, packing.Encoder(TOKENS)(texts), want):
+        assert np.frombuffer(got, "<u4").tolist() == e.ids, t
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(6)
     texts = [None, "", " ", "<|endoftext|> special", "it's a test of spaces\x1c!", "naïve café ﬁ", "x" * 9000, "long words " * 3000]
