@@ -82,15 +82,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return mapped(picked, start, "id long, s1 long, s2 long, s array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    # a doc_id may stand on several rows with several texts: a class is its doc_id and its set
-    c = classes.select("class", "rep", F.col("s1").alias("c1"), F.col("s2").alias("c2"))
-    need = wanted.distinct().join(c, F.col("id") == F.col("class")).select("class", "rep", "c1", "c2")
+def _class_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """class, s of the classes in need (class, rep, s1, s2), written once. A doc_id may stand on several rows with several
+    texts, so a class is told by its doc_id and its set."""
+    need = need.select("class", "rep", F.col("s1").alias("c1"), F.col("s2").alias("c2"))
     sets = _sets(docs, need.select(F.col("rep").alias("id")), width)
     sets = sets.join(need, (sets.id == need.rep) & (sets.s1 == need.c1) & (sets.s2 == need.c2)).groupBy("class").agg(F.first("s").alias("s"))
-    sets = staged(sets, "sets")
+    return staged(sets, "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
     left = sets.select(F.col("class").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -98,6 +100,16 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: i
     return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """class, n, m of the classes that may have a link among these: m counts the shingles that another one has as well, which
+    bounds every intersection; a set with m < percent % of its n has no link whatever the other set is."""
+    single = sets.select("class", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("class").alias("class")).where("k = 1")
+    own = single.groupBy("class").agg(F.count("*").alias("u"))
+    n = F.size("s").cast("long")
+    out = sets.select("class", n.alias("n")).join(own, "class", "left").select("class", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+    return out.where(100 * F.col("m") >= percent * F.col("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of the edges (a, b) reaches.
 
@@ -116,6 +128,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """The members (key, comp, ...) of buckets that lie in several components."""
+    split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return members.join(split, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -126,25 +144,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     """
     sig = staged(signatures(docs, halves, rows, width), "signatures")
     linked = sig.where("n > 0 and doc_id is not null")
-    classes = staged(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("n").alias("n")).withColumn("class", F.xxhash64("s1", "s2")), "classes")
+    classes = staged(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")).withColumn("class", F.xxhash64("s1", "s2")), "classes")
     tables = F.array(*[F.xxhash64(F.col("half")[i], F.col("half")[halves + j], F.lit(i * halves + j)) for i in range(halves) for j in range(halves)])
-    rows_ = classes.select("class", "n", F.explode(tables).alias("key"))
+    rows_ = classes.select("class", F.explode(tables).alias("key"))
     lead = rows_.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead < last").select("key", "lead")
-    shared = staged(rows_.join(lead, "key").select("key", "lead", "class", "n"), "buckets")
+    shared = staged(rows_.join(lead, "key").select("key", "lead", "class"), "buckets")
     tried = staged(shared.where("lead < class").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    edges = staged(_confirmed(docs, tried, classes, percent, width), "links")
+    sets = _class_sets(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
+    edges, bound = staged(_confirmed(tried, sets, percent), "links"), None
     while True:
         labels = components(edges)
-        named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "class", "n", F.coalesce("comp", "class").alias("comp"))
-        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = named.join(split, "key")
-        left = open_.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        right = open_.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        more = staged(left.join(right, "key").where(sized).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
+        open_ = _open(named)
+        if bound is None:
+            bound = staged(_linkable(sets.join(open_.select("class").distinct(), "class", "left_semi"), percent), "bound")
+        open_ = _open(open_.join(bound, "class"))
+        side = lambda x: open_.select("key", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("comp").alias(f"c{x}"))
+        most = F.least("ma", "mb")
+        may = (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+        more = staged(side("a").join(side("b"), "key").where(may).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             break
-        found = staged(_confirmed(docs, more, classes, percent, width), "links")
+        found = staged(_confirmed(more, sets, percent), "links")
         if found.isEmpty():
             break
         tried, edges = tried.union(more), edges.union(found)
