@@ -20,6 +20,8 @@ from .common import WordIds, clean, mapped, mixed, shingles, staged
 
 #: Half-keys in each collection, minhashes in a half-key, words in a shingle.
 HALVES, ROWS, WIDTH = 8, 2, 5
+#: A sketch has 2^SKETCH_BITS bits.
+SKETCH_BITS = 10
 #: Ids up to this many (about 2 MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 
@@ -41,8 +43,14 @@ def _half_keys(s: np.ndarray, halves: int, rows: int) -> np.ndarray:
     return out
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits: each tells whether an odd number of the set's hashes fall on it. Where two sketches differ, so do the sets."""
+    odd = np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, halves: int = HALVES, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """A row per document: doc_id, n (set size), s1 and s2 (128-bit id of the set), half (half-keys).
+    """A row per document: doc_id, n (set size), s1 and s2 (128-bit id of the set), half (half-keys), parity (a sketch).
     n is 0 and the rest null without words or with a null text."""
 
     def start():
@@ -51,16 +59,16 @@ def signatures(docs: DataFrame, halves: int = HALVES, rows: int = ROWS, width: i
         def one(text: str | None) -> tuple:
             s = shingles(text, ids, width)
             if not len(s):
-                return 0, None, None, None
-            return len(s), *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist(), _half_keys(s, halves, rows).view(np.int64)
+                return 0, None, None, None, None
+            return len(s), *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist(), _half_keys(s, halves, rows).view(np.int64), _parity(s)
 
         def run(batch: dict[str, list]) -> dict[str, list]:
             out = [one(text) for text in batch["text"]]
-            return {"doc_id": batch["doc_id"]} | {c: [x[i] for x in out] for i, c in enumerate(("n", "s1", "s2", "half"))}
+            return {"doc_id": batch["doc_id"]} | {c: [x[i] for x in out] for i, c in enumerate(("n", "s1", "s2", "half", "parity"))}
 
         return run
 
-    return mapped(clean(docs, "doc_id", "text"), start, "doc_id long, n long, s1 long, s2 long, half array<long>")
+    return mapped(clean(docs, "doc_id", "text"), start, "doc_id long, n long, s1 long, s2 long, half array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -100,14 +108,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """class, n, m of the classes that may have a link among these: m counts the shingles that another one has as well, which
-    bounds every intersection; a set with m < percent % of its n has no link whatever the other set is."""
-    single = sets.select("class", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("class").alias("class")).where("k = 1")
-    own = single.groupBy("class").agg(F.count("*").alias("u"))
-    n = F.size("s").cast("long")
-    out = sets.select("class", n.alias("n")).join(own, "class", "left").select("class", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
-    return out.where(100 * F.col("m") >= percent * F.col("n"))
+def _may_link(a: str, b: str, percent: int):
+    """Whether two sets of sizes n{a}, n{b} may be similar enough: sets of similarity t differ by at most (1 - t) / (1 + t) of
+    the sum of their sizes, and by as many shingles at least as their sketches by bits."""
+    differ = sum((F.bit_count(F.col(f"p{a}")[k].bitwiseXOR(F.col(f"p{b}")[k])) for k in range((1 << SKETCH_BITS) // 64)), F.lit(0))
+    return differ * (100 + percent) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -144,24 +149,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     """
     sig = staged(signatures(docs, halves, rows, width), "signatures")
     linked = sig.where("n > 0 and doc_id is not null")
-    classes = staged(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")).withColumn("class", F.xxhash64("s1", "s2")), "classes")
+    classes = staged(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("parity").alias("parity"), F.first("n").alias("n")).withColumn("class", F.xxhash64("s1", "s2")), "classes")
     tables = F.array(*[F.xxhash64(F.col("half")[i], F.col("half")[halves + j], F.lit(i * halves + j)) for i in range(halves) for j in range(halves)])
     rows_ = classes.select("class", F.explode(tables).alias("key"))
     lead = rows_.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead < last").select("key", "lead")
     shared = staged(rows_.join(lead, "key").select("key", "lead", "class"), "buckets")
     tried = staged(shared.where("lead < class").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     sets = _class_sets(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
-    edges, bound = staged(_confirmed(tried, sets, percent), "links"), None
+    edges = staged(_confirmed(tried, sets, percent), "links")
     while True:
         labels = components(edges)
         named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
-        open_ = _open(named)
-        if bound is None:
-            bound = staged(_linkable(sets.join(open_.select("class").distinct(), "class", "left_semi"), percent), "bound")
-        open_ = _open(open_.join(bound, "class"))
-        side = lambda x: open_.select("key", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("comp").alias(f"c{x}"))
-        most = F.least("ma", "mb")
-        may = (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+        open_ = _open(named).join(classes.select("class", "n", "parity"), "class")
+        side = lambda x: open_.select("key", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("comp").alias(f"c{x}"))
+        may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b", percent)
         more = staged(side("a").join(side("b"), "key").where(may).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             break
