@@ -115,6 +115,17 @@ def _may_link(a: str, b: str, percent: int):
     return differ * (100 + percent) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - percent)
 
 
+def _first_table(a: str, b: str, halves: int):
+    """Whether table t{a} is the first in which the two meet: no half-key before its own two is common to both. So a pair
+    that many tables have is made once."""
+    same = lambda k: F.col(f"h{a}")[k] == F.col(f"h{b}")[k]
+    i, j = F.floor(F.col(f"t{a}") / halves), F.col(f"t{a}") % halves
+    out = F.lit(True)
+    for k in range(halves - 1):
+        out = out & ~((i > k) & same(k)) & ~((j > k) & same(halves + k))
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of the edges (a, b) reaches.
 
@@ -151,18 +162,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     linked = sig.where("n > 0 and doc_id is not null")
     classes = staged(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("parity").alias("parity"), F.first("n").alias("n")).withColumn("class", F.xxhash64("s1", "s2")), "classes")
     tables = F.array(*[F.xxhash64(F.col("half")[i], F.col("half")[halves + j], F.lit(i * halves + j)) for i in range(halves) for j in range(halves)])
-    rows_ = classes.select("class", F.explode(tables).alias("key"))
+    rows_ = classes.select("class", F.posexplode(tables).alias("table", "key"))
     lead = rows_.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead < last").select("key", "lead")
-    shared = staged(rows_.join(lead, "key").select("key", "lead", "class"), "buckets")
+    shared = staged(rows_.join(lead, "key").select("key", "table", "lead", "class"), "buckets")
     tried = staged(shared.where("lead < class").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     sets = _class_sets(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
     edges = staged(_confirmed(tried, sets, percent), "links")
     while True:
         labels = components(edges)
-        named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
-        open_ = _open(named).join(classes.select("class", "n", "parity"), "class")
-        side = lambda x: open_.select("key", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("comp").alias(f"c{x}"))
-        may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b", percent)
+        named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "table", "class", F.coalesce("comp", "class").alias("comp"))
+        open_ = _open(named).join(classes.select("class", "n", "parity", "half"), "class")
+        side = lambda x: open_.select("key", F.col("table").alias(f"t{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("half").alias(f"h{x}"), F.col("comp").alias(f"c{x}"))
+        may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b", percent) & _first_table("a", "b", halves)
         more = staged(side("a").join(side("b"), "key").where(may).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             break
