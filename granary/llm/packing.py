@@ -22,8 +22,8 @@ from .common import clean, mapped, running, staged, sub_bits
 
 #: Tokens of a sequence, tokens of a length class, id that ends a document.
 TOKENS, GRAIN, END = 2048, 8, 1
-#: Tokenized words kept in memory by a Python worker.
-CACHE = 400_000
+#: Tokenized words kept in memory by a Python worker (about 200 MB).
+CACHE = 1_000_000
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -128,7 +128,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self.words(t or "") for t in texts]
-        new = [w for w in set().union(*split) if w not in self.known]
+        new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > CACHE:
             self.known = {}
             new = list(set().union(*split))
