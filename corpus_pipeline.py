@@ -16,8 +16,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines. One that has lost every line is gone; an empty one stays as it was."""
-    out = linededup.line_dedup(docs).where((F.col("n_lines") == 0) | (F.col("n_exact") + F.col("n_near") < F.col("n_lines")))
+    """Documents without repeated lines, of any length but blank ones. One that has lost every line is gone; an empty one stays as it was."""
+    out = linededup.line_dedup(docs, exact_chars=1).where((F.col("n_lines") == 0) | (F.col("n_exact") + F.col("n_near") < F.col("n_lines")))
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -167,14 +167,20 @@ def _trimmed(a: Column, b: Column) -> Column:
     return state
 
 
-def _plan(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """by_doc: doc, ats (places of first occurrences); links: a, b (doc, at).
+def _looked_at(line: Column, min_chars: int, exact_chars: int | None) -> Column:
+    """Whether a line's repeats go: those of min_chars characters, and with exact_chars those of as many that aren't blank."""
+    long = F.char_length(line) >= min_chars
+    return long if exact_chars is None else long | ((F.char_length(line) >= exact_chars) & line.rlike(r"(?U)\S"))
+
+
+def _plan(docs: DataFrame, edits: int, min_chars: int, exact_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """by_doc: doc, ats (places of first occurrences); links: a, b (doc, at). Only lines of min_chars are linked.
 
     The texts are shuffled by doc_id once: the keys, the candidates' lines and the last step use the same
     exchange, and what joins it is the small side that is hashed (a few bytes a line).
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= min_chars)
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_looked_at(F.col("line"), min_chars, exact_chars))
     wide = F.lit(1 << 32).cast("decimal(11,0)")
     occ = (F.col("doc_id").cast("decimal(19,0)") * wide + F.col("at").cast("decimal(10,0)")).cast("decimal(38,0)")
     firsts = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), occ.alias("occ")).groupBy("h1", "h2").agg(F.min("occ").alias("occ"))
@@ -188,6 +194,8 @@ def _plan(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataF
         return own.select("doc", F.explode(F.get(picked, F.lit(0))).alias("_l")).select("doc", "_l.asked", "_l.line")
 
     reps = lines_at(by_doc.select("doc", F.transform("ats", lambda k: F.struct(k.alias("at"))).alias("asked"))).select("doc", "asked.at", "line")
+    if exact_chars is not None:
+        reps = reps.where(F.char_length("line") >= min_chars)
     reps = reps.withColumn("n", F.char_length("line")).withColumns(_cuts(edits))
     index = reps.select(F.col("doc").alias("di"), F.col("at").alias("li"), F.explode(_index_keys(edits)).alias("e")).select("di", "li", "e.*")
     probe = reps.select(F.col("doc").alias("dp"), F.col("at").alias("lp"), F.explode(_probe_keys(edits)).alias("e")).select("dp", "lp", "e.*").where("key is not null")
@@ -209,16 +217,17 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     return _plan(docs, edits, min_chars)[1]
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """docs with `text` less its repeated lines, and with n_lines, n_exact, n_near, n_links.
 
     A line of at least min_chars characters goes when the same line or one within `edits` edits occurs earlier,
-    by (doc_id, line number); shorter lines stay. n_exact counts lines gone as a repeat of the same line, n_near those gone
+    by (doc_id, line number); shorter lines stay, but with exact_chars a line of as many characters that isn't blank
+    goes too when the same line occurs earlier. n_exact counts lines gone as a repeat of the same line, n_near those gone
     for a similar earlier one alone, n_links the links that the document's first occurrences have. Rows that repeat
     a doc_id count as the same place, so they keep the same lines. A null text stays null, with zeros; a row of a null
     doc_id is left alone. All other columns stay; an empty table gives an empty one.
     """
-    by_doc, links = _plan(docs, edits, min_chars)
+    by_doc, links = _plan(docs, edits, min_chars, exact_chars)
     ends = F.explode(F.array(F.struct(F.col("a.doc"), F.col("a.at"), F.lit(False).alias("lost")), F.struct(F.col("b.doc"), F.col("b.at"), F.lit(True).alias("lost"))))
     linked = links.select(ends.alias("e")).groupBy(F.col("e.doc").alias("_linked")).agg(F.collect_set(F.when(F.col("e.lost"), F.col("e.at"))).alias("_lost"), F.count("*").alias("_links"))
     firsts = by_doc.select(F.col("doc").alias("_doc"), F.col("ats").alias("_ats"))
@@ -227,7 +236,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     nameless = docs.where("doc_id is null").withColumns({"_doc": none("long"), "_ats": none("array<int>"), "_linked": none("long"), "_lost": none("array<int>"), "_links": none("long")})
     out = known.unionByName(nameless).withColumn("_lines", F.split("text", "\n"))
     count = F.size("_lines")
-    short = F.filter(F.sequence(F.lit(0), count - 1), lambda k: F.char_length(F.get("_lines", k)) < min_chars)
+    short = F.filter(F.sequence(F.lit(0), count - 1), lambda k: ~_looked_at(F.get("_lines", k), min_chars, exact_chars))
     nothing = F.array().cast("array<int>")
     out = out.withColumns({"_short": short, "_own": F.array_except(F.coalesce("_ats", nothing), F.coalesce("_lost", nothing))})
     out = out.withColumn("_stay", F.concat("_short", "_own"))

@@ -200,6 +200,15 @@ def test_line_dedup_odd_rows(spark):
     assert [r.text for r in twice] == [long, long]
 
 
+def test_short_repeats_go_with_exact_chars(spark):
+    texts = ["Les.\n\n  \nAnd ornd.", "And ornd.\n\nLes\n  ", "Les.\nLes", "Les.", "a line that is long enough\nLes.", "a line that is long enough!\nx\nx"]
+    df = _docs(spark, [*texts, "\n\n", ""])
+    got = {r.doc_id: (r.text, r.n_lines, r.n_exact, r.n_near) for r in linededup.line_dedup(df, exact_chars=1).collect()}
+    want = [("Les.\n\n  \nAnd ornd.", 4, 0, 0), ("\nLes\n  ", 4, 1, 0), ("", 2, 2, 0), ("", 1, 1, 0), ("a line that is long enough", 2, 1, 0), ("x", 3, 1, 1), ("\n\n", 3, 0, 0), ("", 1, 0, 0)]
+    assert [got[i] for i in range(8)] == want
+    assert [r.text for r in linededup.line_dedup(df).orderBy("doc_id").collect()][:5] == texts[:5]
+
+
 def test_line_dedup_is_native(spark, capsys):
     linededup.line_dedup(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).explain("formatted")
     plan = capsys.readouterr().out

@@ -42,6 +42,12 @@ def test_lines_and_copies_go(stages):
     assert after.count() == len({r.doc_id for r in after.collect()}) <= before.count()
 
 
+def test_short_repeats_go(stages):
+    _, _, after = stages[1]
+    lines = [x for r in after.collect() for x in r.text.split("\n") if x.strip()]
+    assert len(lines) == len(set(lines))
+
+
 def test_packing_takes_all_of_the_mix(stages):
     _, mixed, packed = stages[4]
     starts = packed.where("start = 0").count()
