@@ -53,6 +53,13 @@ def test_modes(spark):
     assert operators.entries(df.limit(0), "zip").count() == 0
 
 
+def test_rpm_tags_without_a_name_keep_their_number(spark):
+    tags = [("p", "main", i, t, "string", [], [t_.encode()]) for i, (t, t_) in enumerate([(1000, "pkg"), (1004, "sum"), (1098, "/usr"), (999999, "own")])] + [("p", "signature", 0, 4321, "int32", [7], [])]
+    df = spark.createDataFrame(tags, "path string, section string, position int, tag long, value_type string, ints array<long>, bytes array<binary>")
+    got = {(r.section, r.tag_name): (r.texts, r.ints) for r in functions.named_tags(df).collect()}
+    assert got == {("main", "NAME"): (["pkg"], []), ("main", "SUMMARY"): (["sum"], []), ("main", "PREFIXES"): (["/usr"], []), ("main", "999999"): (["own"], []), ("signature", "4321"): ([], [7])}
+
+
 def test_package_tables(spark):
     rpm = _files(spark, p=write.rpm_archive("pkg", MEMBERS, "xz"))
     named = {r.tag_name: (r.texts, r.ints) for r in functions.named_tags(operators.rpm_tags(rpm)).where("section = 'main'").collect()}
