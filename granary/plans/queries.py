@@ -210,7 +210,7 @@ def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path policy as a column expression, over names made from the parts of urls."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     raw = F.regexp_replace("url", "^https?:", "")
-    name = F.element_at(F.array(raw, F.concat(F.lit("a/../"), raw), F.concat(F.lit("C:"), raw), F.substring(raw, 3, 500), F.lit("")), (F.col("page_id") % 5 + 1).cast("int"))
+    name = F.element_at(F.array(raw, F.concat(F.lit("a/../"), raw), F.concat(F.lit("C:"), raw), F.substr(raw, F.lit(3)), F.lit("")), (F.col("page_id") % 5 + 1).cast("int"))
     return p.select("page_id", columns.unsafe_path_reason(name).alias("reason"))
 
 

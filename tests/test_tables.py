@@ -60,6 +60,15 @@ def test_rpm_tags_without_a_name_keep_their_number(spark):
     assert got == {("main", "NAME"): (["pkg"], []), ("main", "SUMMARY"): (["sum"], []), ("main", "PREFIXES"): (["/usr"], []), ("main", "999999"): (["own"], []), ("signature", "4321"): ([], [7])}
 
 
+def test_safe_paths_judges_whole_urls(spark, tmp_path):
+    from granary.plans import queries
+
+    urls = ["https://host/" + "a/" * 400 + "b", "https://host/" + "a/" * 400 + "../b", "https://host/" + "a/" * 400 + "b\0"]
+    spark.createDataFrame([(5 * i + 3, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.reason for r in queries.safe_paths(spark, str(tmp_path)).collect()}
+    assert got == {3: None, 8: "traversal", 13: "nul"}
+
+
 def test_package_tables(spark):
     rpm = _files(spark, p=write.rpm_archive("pkg", MEMBERS, "xz"))
     named = {r.tag_name: (r.texts, r.ints) for r in functions.named_tags(operators.rpm_tags(rpm)).where("section = 'main'").collect()}
