@@ -19,14 +19,17 @@ from pyspark.sql import DataFrame
 from .common import clean, mapped
 
 #: Elements that don't end a block; all others do. <br> counts as white space.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
-#: Elements whose content isn't text of the page, and elements that have no content.
-DROPPED = frozenset("script style noscript template title textarea select svg math iframe object audio video canvas button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr"
+    " math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements whose content isn't text of the page: up to the first end tag or the page's end, as HTML reads them, and up to
+#: the end tag that belongs to them; without one of these the tag alone goes. Elements that have no content.
+RAW = frozenset("script style noscript title textarea iframe".split())
+DROPPED = frozenset("template select svg object audio video canvas annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes, up to the nearest of the boundaries.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Log-odds that an ancestor adds for content: by element, and by words of class, id and role.
-BY_TAG = {"article": 4.0, "main": 2.0, "nav": -8.0, "footer": -8.0, "header": -3.0, "aside": -7.0, "form": -7.0, "menu": -7.0, "dialog": -7.0, "fieldset": -5.0}
+BY_TAG = {"article": 4.0, "main": 2.0, "nav": -8.0, "footer": -8.0, "header": -3.0, "aside": -7.0, "form": -7.0, "menu": -7.0, "dialog": -7.0, "fieldset": -5.0, "button": -2.0}
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion comment comments disqus replies reply cookie cookies consent gdpr notice notification alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager copyright legal form search".split())
 GOOD_WORDS = frozenset("article content entry post story text body main".split())
 BAD_WEIGHT, GOOD_WEIGHT = -9.0, 1.0
@@ -35,7 +38,26 @@ ADJACENT, SIBLING = 0.6, 0.6
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-zA-Z]+")
-_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in DROPPED}
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW}
+
+
+def _closed(page: str, tag: str, at: int) -> dict[int, int]:
+    """Where the elements named tag end that have an end tag, by where their opening tag ends; from place `at` on."""
+    out, open_ = {}, []
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name in RAW and not m[1] and not m[3].endswith("/"):
+            e = _ENDS[name].search(page, at)
+            at = e.end() if e else len(page)
+        elif name != tag:
+            continue
+        elif m[1]:
+            if open_:
+                out[open_.pop()] = at
+        elif not m[3].endswith("/"):
+            open_.append(at)
+    return out
 
 
 class Block:
@@ -63,6 +85,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[int, str, float]] = []
     parts: list[str] = []
     count, linked, in_link, at = 0, 0, 0, 0
+    ends: dict[str, dict[int, int]] = {}
 
     def end_block() -> None:
         nonlocal parts, linked
@@ -87,11 +110,21 @@ def blocks(page: str) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag == "a":
             in_link = 0 if closing else 1
-        if tag in DROPPED:
+        if tag in RAW:
             if not closing and not m[3].endswith("/"):
                 e = _ENDS[tag].search(page, at)
                 at = e.end() if e else len(page)
             continue
+        if (tag in DROPPED or tag == "button") and not closing:
+            if tag not in ends:
+                ends[tag] = _closed(page, tag, m.start())
+            if tag in DROPPED:
+                at = ends[tag].get(at, at)
+                continue
+            if at not in ends[tag]:
+                continue
+        elif tag in DROPPED:
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
@@ -104,7 +137,7 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if stack and stack[-1][1] == "p":  # a block-level element ends an open paragraph
+        if stack and stack[-1][1] == "p" and tag != "button":  # a block-level element ends an open paragraph
             stack.pop()
         if tag in CLOSES:
             shut, until = CLOSES[tag]

@@ -97,6 +97,19 @@ if token == "abc": pass
 """
 
 
+def test_elements_without_an_end_and_nested_ones():
+    told = "This is a long sentence of the article that has to stay in the text of the page."
+    for tag in ("button", "select", "svg", "math", "object", "audio", "video", "canvas", "template"):
+        page = f"<html><body><div><{tag}></div><article><p>{told}</p><p>{told}</p></article></body></html>"
+        assert htmltext.main_text(page) == f"{told}\n{told}", tag
+    for tag in ("svg", "object"):
+        page = f"<article><p>{told}</p><{tag}><{tag}>in</{tag}><p>Hidden words that are no part of the article.</p></{tag}><p>{told}</p></article>"
+        assert htmltext.main_text(page) == f"{told}\n{told}", tag
+    page = f"<article><h2><button>How does it work?</button></h2><p>{told} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
+    assert htmltext.main_text(page) == f"How does it work?\n{told} x=2 holds."
+    assert htmltext.main_text(f"<article><p>{told}</p></article><script>let a = '{told}'") == told
+
+
 def test_secret_spans(spark):
     rng = random.Random(2)
     parts = ["password", "ToKen", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJKLMNOPQ", "0123456789abcdef", "é", "\n", "secret_key", "xyz123-_/+", "ſecret", "apikey", "Key"]
