@@ -124,6 +124,31 @@ def test_secret_spans(spark):
     assert lexed == {"AKz9-", "q8T!x", "77zz", "hunter2$Long"}
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('os.environ["CLIENT_SIGNING_KEY"] = "q8T!x77zzAKz9"', ["q8T!x77zzAKz9"]),
+        ("config['client_secret']='q8T!x77zzAKz9'", ["q8T!x77zzAKz9"]),
+        ('names["a"] = "q8T!x77zzAKz9"', []),
+        ('signing_key =\n    "q8T!x77zzAKz9"\nother = 1', ["q8T!x77zzAKz9"]),
+        ('"signing_key":\r\n  "q8T!x77zzAKz9"', ["q8T!x77zzAKz9"]),
+        ('signing_key:\n  "q8T!x77zzAKz9": 1', []),
+        ('signing_key = (\n    "q8T!x77"\n    "zzAKz9"\n)\nother = "zzzQ8T!x77"', ["q8T!x77", "zzAKz9"]),
+        ('signing_key = "q8T!x77" +\n  "zzAKz9"', ["q8T!x77", "zzAKz9"]),
+        ('signing_key = "q8T!x77"\n  + "zzAKz9"', ["q8T!x77", "zzAKz9"]),
+        ('signing_key = "q8T!x77" \\\n  + "zzAKz9"', ["q8T!x77", "zzAKz9"]),
+        ('signing_key = ("q8T!x77") + ("zz")\nsigning_key = (("q8T!x77") + "zzAKz9")', ["q8T!x77", "zzAKz9"]),
+        ('signing_key = \\\n  "q8T!x77zzAKz9"', ["q8T!x77zzAKz9"]),
+        ('signing_keys = ["q8T!x77zzAKz9", "none"]\nsigning_key = [\n "zz8T!x77zzAK"]', ["zz8T!x77zzAK"]),
+        ('signing_key = "q8Ttrue!x77<none"', ["q8Ttrue!x77<none"]),
+        ('signing_key = "yourQ8T!x77password"', ["yourQ8T!x77password"]),
+        ('signing_key = "your-signing-key-9"\nsigning_key = "<SIGNING-key-9>"\nsigning_key = "Password-None"', []),
+    ],
+)
+def test_lexed_values(text, want):
+    assert [text[a:b] for a, k, b in secrets.scan(text) if k == 3] == want
+
+
 def _png(rows, width, colour, filters):
     body = b"".join(bytes([f]) + r for f, r in zip(filters, rows))
     head = struct.pack(">IIBBBBB", width, len(rows), 8, colour, 0, 0, 0)
