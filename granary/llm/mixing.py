@@ -20,7 +20,7 @@ from .common import n_words, running, staged, sub_bits
 BLOCK_WORDS, LEAST_BLOCKS, WEIGHTS = 1024, 256, (3, 1, 2)
 #: Of all words the mix has so many times, and no source or document more than so many times its own.
 SHARE, REPEATS = 1.5, 2.0
-#: One row a source comes to the driver; a table with more sources than this is refused.
+#: One row a source comes to the driver up to so many sources; with more the plan is made where the rows are.
 MAX_SOURCES = 100_000
 
 
@@ -54,9 +54,7 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, repeat
 
 def plan(sized: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, share: float = SHARE, repeats: float = REPEATS) -> list[Source]:
     """Sources by code point, null last, with targets, blocks and quotas of slots. sized: source, size."""
-    told = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(told) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    told = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     told = sorted(((r["source"], r["size"]) for r in told), key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in told], [float(weights[i % len(weights)]) for i in range(len(told))], share, repeats)
     out = []
@@ -66,6 +64,38 @@ def plan(sized: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, shar
     return out
 
 
+def plan_wide(sized: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+    """What plan() and uses() tell, for any number of sources and without their rows on the driver: _source, _index,
+    source_size, target, _blocks, split, times_before, times_after.
+
+    The targets are found as in targets(): the level (words a unit of weight) goes up as long as sources fill up below it,
+    one aggregation a step. A source's quota is counted out without its slots: the first quota % blocks of its blocks are
+    taken once more than the others.
+    """
+    told = sized.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.col("source").asc_nulls_last())
+    told = staged(told.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "sources")
+    starts, at = [], 0
+    for r in sorted(told.groupBy("_part").agg(F.count("*").alias("k")).collect()):
+        starts.append((r["_part"], at))
+        at += r["k"]
+    starts = told.sparkSession.createDataFrame(starts, "_part int, _start long")
+    told = told.join(F.broadcast(starts), "_part").withColumn("_index", F.col("_row") + F.col("_start"))  # one row a partition
+    told = told.withColumn("_weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_index") % len(weights)).cast("int")))
+    most = F.col("n") * F.lit(float(repeats))
+    level, full = 0.0, F.lit(False)
+    while True:
+        sums = told.agg(F.sum("n").alias("all"), F.sum(F.when(full, most).otherwise(0.0)).alias("given"), F.sum(F.when(full, 0.0).otherwise(F.col("_weight"))).alias("rest")).first()
+        if not sums["rest"] or (share * sums["all"] - sums["given"]) / sums["rest"] <= level:
+            break
+        level = (share * sums["all"] - sums["given"]) / sums["rest"]
+        full = F.lit(level) * F.col("_weight") > most
+    told = told.withColumn("target", F.when(full, most).otherwise(F.lit(level) * F.col("_weight")))
+    told = told.withColumn("_blocks", F.greatest(F.lit(1), F.least("n", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / block_words)))).cast("long"))
+    quota = F.when(F.col("n") > 0, F.least(F.rint(F.col("target") * F.col("_blocks") / F.col("n")), F.floor(F.col("_blocks") * float(repeats)))).otherwise(0).cast("long")
+    times = F.floor(quota / F.col("_blocks")).cast("long")
+    return told.select(F.col("source").alias("_source"), "_index", F.col("n").alias("source_size"), "target", "_blocks", (quota % F.col("_blocks")).alias("split"), (times + 1).alias("times_before"), times.alias("times_after"))
+
+
 def schedule(spark, sources: list[Source]) -> DataFrame:
     """slot (in order), source_index, block: the mix as a sequence of blocks; all slots of all sources.
 
@@ -128,13 +158,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, share:
         keep = ["doc_id", "source"]
         sized = staged(sized.select("doc_id", "source", "_size", "_h"), "sizes")
     light = sized.select("source", F.col("_size").alias("size"))
-    sources = plan(light, weights, block_words, share, repeats)
-    rows = [(s.name, s.index, s.size, float(s.target), s.blocks) for s in sources]
-    about = spark.createDataFrame(rows, "_source string, _index int, source_size long, target double, _blocks long").join(uses(spark, sources), F.col("_index") == F.col("source_index"), "left").drop("source_index")
+    n_sources = light.select("source").distinct().limit(MAX_SOURCES + 1).count()
+    wide = n_sources > MAX_SOURCES
+    if wide:
+        about = plan_wide(light, weights, block_words, share, repeats)
+    else:
+        sources = plan(light, weights, block_words, share, repeats)
+        rows = [(s.name, s.index, s.size, float(s.target), s.blocks) for s in sources]
+        about = spark.createDataFrame(rows, "_source string, _index int, source_size long, target double, _blocks long").join(uses(spark, sources), F.col("_index") == F.col("source_index"), "left").drop("source_index")
     about = staged(about.withColumn("_split", F.when(F.col("_blocks") > 0, block_start(F.coalesce("split", F.lit(0)), F.col("source_size"), F.col("_blocks")))), "mix")
-    bits = sub_bits(sized.count() // max(1, len(sources)))
+    bits = sub_bits(sized.count() // max(1, n_sources))
     placed = running(sized, ["source"], "_h", F.col("_size"), "_at", bits, ["doc_id", "_size"])
-    placed = placed.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("_source")))  # at most MAX_SOURCES rows
+    placed = placed.join(about if wide else F.broadcast(about), F.col("source").eqNullSafe(F.col("_source")))  # at most MAX_SOURCES rows are sent
     end = F.col("_at") + F.col("_size")
     cut = F.least(F.greatest(F.col("_split"), F.col("_at")), end) - F.col("_at")
     part = lambda a, b, n: F.struct(a.cast("long").alias("from"), b.cast("long").alias("to"), F.coalesce(n, F.lit(0)).cast("long").alias("times"))

@@ -202,6 +202,17 @@ def test_schedule_spreads_each_source(spark):
     assert max(abs(n - 0.75 * (k + 1)) for k, n in enumerate(seen)) <= 4
 
 
+def test_more_sources_than_the_driver_takes(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), "en", rng.choice([None, "é", "\U0001f600", *"abcdefghij"]), 0) for i in range(300)] + [(300, "", "en", "empty", 0), (301, "w " * 30000, "en", "large", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda: {r.doc_id: (r.source, r.size, r.source_size, round(r.target, 6), r.taken, r.ranges) for r in mixing.mix(df).collect()}
+    want = told()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    assert told() == want and len(want) == 302
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def test_mixed_documents(spark):
     rng = random.Random(9)
     rows = [(i, "  ".join(f"d{i}x{k}" for k in range(rng.randint(0, 30))), "ab"[i % 2]) for i in range(400)]
