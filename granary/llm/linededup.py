@@ -4,9 +4,14 @@ A line is cut into k + 1 segments of near equal length (k: the edits allowed). I
 of a line x that is no shorter, one of y's segments stands unchanged in x, at a place that differs from its own
 by at most as many characters as the edits to its left and right allow. So y's segments go into
 an index keyed by length, segment number and content; x probes it with the few substrings that may match,
-for each length from n - k to n. For one edit both sides carry a sketch of the other half, which thins out what lines of
-near copies share a segment before a pair is made. Candidates are verified by a banded bit-parallel edit distance whose band of 2k + 1
-diagonals is one word of bits.
+for each length from n - k to n. Keys are hashes, made while the texts are scanned; only lines of which
+a key is another line's too are fetched.
+
+Lines that meet in a small bucket are paired, and a pair is verified by a banded bit-parallel edit distance whose band of 2k + 1
+diagonals is one word of bits. In a large bucket (a family of lines that share a segment) nothing is paired: what the segment leaves of
+each line is a line again, still within the same edits of its partners, and goes through the same join under the bucket's
+key. Each round leaves less of the lines, till the buckets are small or a few characters are left; so the work follows the lines
+and their true links, not the square of a family.
 
 A line's occurrence goes when an earlier occurrence (by doc_id, then line number) of the same line or of a
 line within k edits exists. This asks for no chains of links, so one join settles it.
@@ -17,94 +22,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running, staged
+
 #: Edits allowed, and the characters from which a line is looked at; shorter lines always stay.
 EDITS, MIN_CHARS = 1, 16
-_TWO32 = 1 << 32
-
+#: Keys of a bucket whose lines are paired at once; a larger one goes through another round.
+SMALL = 16
+#: Rows up to this many (about 2 MB of ids) are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
+_INDEX = -1
+_OCC = ("doc", "copy", "at")
 
-def _cuts(edits: int) -> dict[str, Column]:
-    """Columns base_k and more_k for each k to `edits`: the length of a segment of a line of n - k characters, and how
-    many of its last segments have one more."""
-    parts = edits + 1
-    return {f"base_{k}": F.expr(f"int((n - {k}) div {parts})") for k in range(parts)} | {f"more_{k}": F.expr(f"int((n - {k}) % {parts})") for k in range(parts)}
 
-
-def _segment(i: int, shorter: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of n - shorter characters."""
-    base, more = F.col(f"base_{shorter}"), F.col(f"more_{shorter}")
+def _segment(i: int, r: Column, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment i of r characters; the last segments have one more where they can't be equal."""
+    base, more = F.floor(r / parts).cast("int"), (r % parts).cast("int")
     if i == 0:
         return F.lit(0), base + (more >= parts).cast("int")
-    start = base * i + F.greatest(F.lit(0), more - (parts - i))
-    return start, base + (more >= parts - i).cast("int")
-
-
-def _key(shorter: int, i: int, content: Column) -> Column:
-    return F.xxhash64(F.col("n") - shorter, F.lit(i), content)
-
-
-def _rest(i: int, start: Column, length: Column, edits: int) -> tuple[Column, Column]:
-    """Start and end of what a matching segment leaves of the line; for one edit that is the other half."""
-    return (start + length, F.col("n")) if i == 0 else (F.lit(0), start)
-
-
-def _sketch(start: Column, end: Column, shorter: int, indexed: bool) -> Column:
-    """Hashes, of 10 bits each, of the four quarters of the other half, to tell without the text that one edit can't
-    do: all quarters but one must be equal, those before it seen from the front and those after it from the end.
-
-    An indexed line has its four quarters; a probe, which is longer by `shorter` characters there, has the first three
-    from the front and the last three from the end.
-    """
-    size = end - start - shorter
-    cut = [F.expr("0")] + [F.floor(size * k / 4).cast("int") for k in (1, 2, 3)] + [size]
-    part = lambda k, shift: F.hash(F.substring("line", start + cut[k] + (shift + 1), cut[k + 1] - cut[k])).bitwiseAND(1023).cast("long")
-    front = [part(k, 0) for k in range(4 if indexed else 3)]
-    parts = front if indexed else front + [x if not shorter else part(k, shorter) for k, x in zip((1, 2, 3), [*front[1:], part(3, 0)])]
-    out = parts[0]
-    for k, x in enumerate(parts[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(x, 10 * k))
+    return base * i + F.greatest(F.lit(0), more - (parts - i)), base + (more >= parts - i).cast("int")
+
+
+def _shifts(i: int, longer: int, edits: int) -> list[int]:
+    """Where segment i of the shorter line may stand in one that is longer: at most i edits lie before it and at most edits - i
+    after it, and the shifts on both sides add up to the difference of the lengths."""
+    return [s for s in range(-edits, edits + 1) if abs(s) <= i and abs(longer - s) <= edits - i]
+
+
+def _keys(text: Column, n: Column, longer: int, edits: int, bucket: Column | None = None) -> list[tuple[Column, Column]]:
+    """(key or null, what the segment leaves of the text) of a text of n characters. `longer` is _INDEX for an index's text, or
+    by how much a probe is longer than the indexed texts that it looks for."""
+    extra, parts, out = max(longer, 0), edits + 1, []
+    r = n - extra
+    for i in range(parts):
+        start, length = _segment(i, r, parts)
+        for shift in [0] if longer == _INDEX else _shifts(i, longer, edits):
+            at = start + shift
+            key = F.xxhash64(*([bucket] if bucket is not None else []), r, F.lit(i), F.substring(text, at + 1, length))
+            # a shift to the left may begin before the text, one to the right may end after it
+            fits = (r > 0) & (at >= 0) & (at + length <= n)
+            out.append((F.when(fits, key), F.concat(F.substring(text, 1, at), F.substring(text, at + length + 1, n))))
     return out
 
 
-def _one_edit_may_do(i: Column, p: Column) -> Column:
-    """Whether sketches of an indexed line and of a probe leave room for one edit in one quarter."""
-    same = lambda a, b: F.shiftright(i, 10 * a).bitwiseXOR(F.shiftright(p, 10 * b)).bitwiseAND(1023) == 0
-    first, second, third, late_second, late_third, last = same(0, 0), same(1, 1), same(2, 2), same(1, 3), same(2, 4), same(3, 5)
-    return (late_second & late_third & last) | (first & late_third & last) | (first & second & last) | (first & second & third)
-
-
-def _entry(key: Column, sketch: Column | None) -> Column:
-    return F.struct(key.alias("key"), *([sketch.alias("sketch")] if sketch is not None else []))
-
-
-def _index_keys(edits: int) -> Column:
-    """Keys of a line's own segments; columns line, n and those of _cuts."""
-    out = []
-    for i in range(edits + 1):
-        start, length = _segment(i, 0, edits + 1)
-        sketch = _sketch(*_rest(i, start, length, edits), 0, True) if edits == 1 else None
-        out.append(_entry(_key(0, i, F.substring("line", start + 1, length)), sketch))
-    return F.array(*out)
-
-
-def _probe_keys(edits: int) -> Column:
-    """Keys, or nulls, of all substrings that may be a segment of an indexed line of n - edits to n characters.
-
-    The segment with number i (from 0) is the first unchanged one: at most i edits lie before it and at most
-    edits - i after it, and the shifts on both sides add up to the difference of the lengths.
-    """
-    parts, out = edits + 1, []
-    for shorter in range(edits + 1):
-        for i in range(parts):
-            start, length = _segment(i, shorter, parts)
-            for shift in range(-edits, edits + 1):
-                before, after = abs(shift), abs(shorter - shift)
-                if before <= i and after <= edits - i:
-                    key = _key(shorter, i, F.substring("line", start + (shift + 1), length))
-                    # a shift to the left may begin before the line, one to the right may end after it
-                    fits = start >= -shift if shift < 0 else start + length + shift <= F.col("n") if shift > 0 else F.col("n") > shorter
-                    sketch = _sketch(*_rest(i, start + shift, length, edits), shorter, False) if edits == 1 else None
-                    out.append(_entry(key if not shift and not shorter else F.when(fits, key), sketch))
-    return F.array(*out)
+def _roles(edits: int) -> list[int]:
+    """An index's text, and the probes. One edit between texts of equal length leaves a segment in its own place, so
+    there the index is its own probe."""
+    return [_INDEX, *range(1 if edits == 1 else 0, edits + 1)]
 
 
 def edit_distance_at_most(a: Column, b: Column, edits: int) -> Column:
@@ -173,48 +136,98 @@ def _looked_at(line: Column, min_chars: int, exact_chars: int | None) -> Column:
     return long if exact_chars is None else long | ((F.char_length(line) >= exact_chars) & line.rlike(r"(?U)\S"))
 
 
-def _plan(docs: DataFrame, edits: int, min_chars: int, exact_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """by_doc: doc, ats (places of first occurrences); links: a, b (doc, at). Only lines of min_chars are linked.
-
-    The texts are shuffled by doc_id once: the keys, the candidates' lines and the last step use the same
-    exchange, and what joins it is the small side that is hashed (a few bytes a line).
-    """
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_looked_at(F.col("line"), min_chars, exact_chars))
-    wide = F.lit(1 << 32).cast("decimal(11,0)")
-    occ = (F.col("doc_id").cast("decimal(19,0)") * wide + F.col("at").cast("decimal(10,0)")).cast("decimal(38,0)")
-    firsts = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), occ.alias("occ")).groupBy("h1", "h2").agg(F.min("occ").alias("occ"))
-    by_doc = firsts.select(F.floor(F.col("occ") / wide).cast("long").alias("doc"), F.pmod("occ", wide).cast("int").alias("at")).groupBy("doc").agg(F.collect_list("at").alias("ats"))
-
-    def lines_at(asked: DataFrame) -> DataFrame:
-        """asked (doc, asked: structs with at) with the lines: doc, asked, line."""
-        own = texts.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"))
-        # one split a text, and each line once: exploding the places beside the lines would copy all lines to every place
-        picked = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("asked", lambda x: F.struct(x.alias("asked"), F.get(lines, x["at"]).alias("line"))))
-        return own.select("doc", F.explode(F.get(picked, F.lit(0))).alias("_l")).select("doc", "_l.asked", "_l.line")
-
-    reps = lines_at(by_doc.select("doc", F.transform("ats", lambda k: F.struct(k.alias("at"))).alias("asked"))).select("doc", "asked.at", "line")
-    if exact_chars is not None:
-        reps = reps.where(F.char_length("line") >= min_chars)
-    reps = reps.withColumn("n", F.char_length("line")).withColumns(_cuts(edits))
-    index = reps.select(F.col("doc").alias("di"), F.col("at").alias("li"), F.explode(_index_keys(edits)).alias("e")).select("di", "li", "e.*")
-    probe = reps.select(F.col("doc").alias("dp"), F.col("at").alias("lp"), F.explode(_probe_keys(edits)).alias("e")).select("dp", "lp", "e.*").where("key is not null")
-    on = (index.key == probe.key) & ((F.col("di") != F.col("dp")) | (F.col("li") != F.col("lp")))
-    if edits == 1:
-        on = on & _one_edit_may_do(index.sketch, probe.sketch)
-    met = index.join(probe, on)
-    i, p = F.struct(F.col("di").alias("doc"), F.col("li").alias("at")), F.struct(F.col("dp").alias("doc"), F.col("lp").alias("at"))
-    pairs = met.select(F.least(i, p).alias("a"), F.greatest(i, p).alias("b")).distinct()
-    end = lambda x, k: F.struct(F.col(f"{x}.doc").alias("doc"), F.struct(F.col(f"{x}.at").alias("at"), "a", "b", F.lit(k).alias("end")).alias("ask"))
-    asked = pairs.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("e")).groupBy(F.col("e.doc").alias("doc")).agg(F.collect_list("e.ask").alias("asked"))
-    found = lines_at(asked).groupBy("asked.a", "asked.b").agg(F.max(F.when(F.col("asked.end") == 0, F.col("line"))).alias("ta"), F.max(F.when(F.col("asked.end") == 1, F.col("line"))).alias("tb"))
-    near = F.get(F.transform(_trimmed(F.col("ta"), F.col("tb")), lambda s: edit_distance_at_most(s["a"], s["b"], edits)), F.lit(0))
-    return by_doc, found.where(near).select("a", "b")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _copy, and doc, copy, text of each different row with a doc_id. _copy is 0, or where a doc_id has several texts their
+    number in the order of a hash; equal rows have the same number."""
+    own = lambda x: x.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("_copy").alias("copy"), "text")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        docs = docs.withColumn("_copy", F.lit(0).cast("long"))
+        return docs, own(docs)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_th")).join(again, F.col("doc_id") == F.col("_id"), "left_semi").distinct()
+    told = staged(running(staged(hashed, "again"), ["doc_id"], "_th", F.lit(1), "_copy", 16), "copies").select(F.col("doc_id").alias("_id"), "_th", "_copy")
+    named = docs.join(told, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
+    docs = named.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("_copy", F.lit(0).cast("long")).alias("_copy"))
+    return docs, own(docs).dropDuplicates(["doc", "copy"])
+
+
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """key, size: the keys that two lines or more have, one of them in the index."""
+    told = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("role").alias("r"), F.min("u").alias("lo"), F.max("u").alias("hi"))
+    return told.where((F.col("r") == _INDEX) & (F.col("lo") < F.col("hi"))).select("key", "size")
+
+
+def _met(texts: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+    """The first round: key, size, role, u, doc, copy, at, line, rest of the lines that share a key. firsts holds the keys; the texts of
+    the few documents that are asked for are read again."""
+    n_keys = len(firsts.schema["keys"].dataType.names)
+    roles = [role for role in _roles(edits) for _ in _keys(F.lit(""), F.lit(0), role, edits)]
+    u = F.xxhash64(*_OCC).alias("u")
+    keyed = firsts.select(*_OCC, u, F.explode(F.array(*[F.struct(F.col(f"keys.k{j}").alias("key"), F.lit(roles[j]).alias("role"), F.lit(j).alias("j")) for j in range(n_keys)])).alias("e")).select(*_OCC, "u", "e.*").where("key is not null")
+    ask = F.struct("at", "key", "size", "role", "j", "u")
+    asked = staged(keyed.join(_buckets(keyed), "key").groupBy("doc", "copy").agg(F.collect_list(ask).alias("asked")), "asked")  # a list of a text's own lines
+    if asked.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(asked.select("doc", "copy")), ["doc", "copy"], "left_semi")
+    # one split a text, and each line once: exploding the places beside the lines would copy all lines to every place
+    lines = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("asked", lambda x: F.struct(x.alias("x"), F.get(ls, x["at"]).alias("line"))))
+    found = texts.join(asked, ["doc", "copy"]).select("doc", "copy", F.explode(F.get(lines, F.lit(0))).alias("e")).select("doc", "copy", "e.x.*", "e.line")
+    rest, j = F.lit(None).cast("string"), 0
+    for role in _roles(edits):
+        for _, left in _keys(F.col("line"), F.char_length("line"), role, edits):
+            rest = F.when(F.col("j") == j, left).otherwise(rest)
+            j += 1
+    return staged(found.withColumn("rest", rest).drop("j"), "lines")
+
+
+def _again(hot: DataFrame, edits: int) -> DataFrame:
+    """Another round over what large buckets left of their lines."""
+    n = F.char_length("rest")
+    told = F.lit(None)
+    for role in _roles(edits):
+        made = F.array(*[F.struct(key.alias("key"), left.alias("rest")) for key, left in _keys(F.col("rest"), n, role, edits, F.col("key"))])
+        told = F.when(F.col("role") == role, made).otherwise(told)
+    keyed = hot.select("role", "u", *_OCC, "line", F.explode(told).alias("e")).select("role", "u", *_OCC, "line", "e.*").where("key is not null")
+    return staged(keyed.join(_buckets(keyed), "key"), "lines")
+
+
+def _links(met: DataFrame, edits: int) -> DataFrame:
+    """a, b (doc, copy, at; a before b) of the lines within the edits among those that share a key."""
+    side = lambda x: met.select("key", F.col("role").alias(f"r{x}"), F.struct(*_OCC).alias(x), F.col("line").alias(f"l{x}"))
+    probes = (F.col("rb") != _INDEX) | (F.col("a") < F.col("b")) if edits == 1 else F.col("rb") != _INDEX
+    pairs = side("a").where(F.col("ra") == _INDEX).join(side("b"), "key").where(probes & (F.col("a") != F.col("b")))
+    near = F.get(F.transform(_trimmed(F.col("la"), F.col("lb")), lambda s: edit_distance_at_most(s["a"], s["b"], edits)), F.lit(0))
+    return pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _plan(docs: DataFrame, edits: int, min_chars: int, exact_chars: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, text, _others (a struct of the other columns) and _copy of docs; firsts: doc, copy, at of the first occurrences; links: a, b (doc, copy, at), each pair once. Only lines of
+    min_chars are linked."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    docs, texts = _numbered(docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("_others")))  # so no name clashes
+    lines = texts.select("doc", "copy", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_looked_at(F.col("line"), min_chars, exact_chars))
+    n = F.char_length("line")
+    keys = [F.when(n >= min_chars, key) for role in _roles(edits) for key, _ in _keys(F.col("line"), n, role, edits)]
+    told = F.struct(*_OCC, F.struct(*[key.alias(f"k{j}") for j, key in enumerate(keys)]).alias("keys"))
+    firsts = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), told.alias("told")).groupBy("h1", "h2").agg(F.min("told").alias("told"))
+    firsts = staged(firsts.select("told.*"), "firsts")
+    met = _met(texts, firsts, edits)
+    links = None
+    while True:
+        # texts that are shorter than the segments are many leave nothing to cut
+        hot = (F.col("size") > SMALL) & (F.char_length("rest") - F.greatest("role", F.lit(0)) > edits)
+        found = staged(_links(met.where(~hot), edits), "links")
+        links = found if links is None else links.unionAll(found)
+        large = met.where(hot)
+        if large.isEmpty():
+            return docs, firsts.select(*_OCC), links.distinct()
+        met = _again(large, edits)
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """a, b: the first occurrences (doc, at) of each two different lines within `edits` edits, a before b."""
-    return _plan(docs, edits, min_chars)[1]
+    """a, b: the first occurrences (doc, at) of each two different lines within `edits` edits, a before b; copy_a, copy_b: which
+    of the texts of a doc_id that has several."""
+    at = lambda x: F.struct(f"{x}.doc", f"{x}.at").alias(x)
+    return _plan(docs, edits, min_chars)[2].select(at("a"), at("b"), F.col("a.copy").alias("copy_a"), F.col("b.copy").alias("copy_b"))
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -223,18 +236,20 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     A line of at least min_chars characters goes when the same line or one within `edits` edits occurs earlier,
     by (doc_id, line number); shorter lines stay, but with exact_chars a line of as many characters that isn't blank
     goes too when the same line occurs earlier. n_exact counts lines gone as a repeat of the same line, n_near those gone
-    for a similar earlier one alone, n_links the links that the document's first occurrences have. Rows that repeat
-    a doc_id count as the same place, so they keep the same lines. A null text stays null, with zeros; a row of a null
-    doc_id is left alone. All other columns stay; an empty table gives an empty one.
+    for a similar earlier one alone, n_links the links that the document's first occurrences have. Rows that are equal in
+    doc_id and text are one document and keep the same lines; different texts of one doc_id are documents of their own, in the order of a
+    hash. A null text stays null, with zeros; a row of a null doc_id is left alone. All other columns stay; an empty table
+    gives an empty one.
     """
-    by_doc, links = _plan(docs, edits, min_chars, exact_chars)
-    ends = F.explode(F.array(F.struct(F.col("a.doc"), F.col("a.at"), F.lit(False).alias("lost")), F.struct(F.col("b.doc"), F.col("b.at"), F.lit(True).alias("lost"))))
-    linked = links.select(ends.alias("e")).groupBy(F.col("e.doc").alias("_linked")).agg(F.collect_set(F.when(F.col("e.lost"), F.col("e.at"))).alias("_lost"), F.count("*").alias("_links"))
-    firsts = by_doc.select(F.col("doc").alias("_doc"), F.col("ats").alias("_ats"))
-    known = docs.where("doc_id is not null").join(firsts.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").join(linked.hint("shuffle_hash"), F.col("doc_id") == F.col("_linked"), "left")
-    none = lambda kind: F.lit(None).cast(kind)
-    nameless = docs.where("doc_id is null").withColumns({"_doc": none("long"), "_ats": none("array<int>"), "_linked": none("long"), "_lost": none("array<int>"), "_links": none("long")})
-    out = known.unionByName(nameless).withColumn("_lines", F.split("text", "\n"))
+    columns = docs.columns
+    docs, firsts, links = _plan(docs, edits, min_chars, exact_chars)
+    ends = F.explode(F.array(F.struct("a", F.lit(False).alias("lost")), F.struct(F.col("b").alias("a"), F.lit(True).alias("lost"))))
+    linked = links.select(ends.alias("e")).select("e.a.*", "e.lost").groupBy(*_OCC).agg(F.max("lost").alias("lost"), F.count("*").alias("n"))
+    told = firsts.join(linked, [*_OCC], "left").groupBy("doc", "copy").agg(F.collect_list("at").alias("_ats"), F.collect_list(F.when(F.col("lost"), F.col("at"))).alias("_lost"), F.sum("n").alias("_links"))
+    told = told.withColumnsRenamed({"doc": "_doc", "copy": "_number"})
+    known = docs.where("doc_id is not null").join(told, (F.col("doc_id") == F.col("_doc")) & (F.col("_copy") == F.col("_number")), "left")
+    nameless = docs.where("doc_id is null")
+    out = known.unionByName(nameless, allowMissingColumns=True).withColumn("_lines", F.split("text", "\n"))
     count = F.size("_lines")
     short = F.filter(F.sequence(F.lit(0), count - 1), lambda k: ~_looked_at(F.get("_lines", k), min_chars, exact_chars))
     nothing = F.array().cast("array<int>")
@@ -245,7 +260,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     zero = lambda x: F.when(known, F.coalesce(x, F.lit(0))).otherwise(0).cast("long")
     firsts_n = F.when(F.col("_ats").isNull(), 0).otherwise(F.size("_ats"))
     return out.select(
-        *[F.when(known & (F.size("_stay") < count), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(known & (F.size("_stay") < count), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col("doc_id") if c == "doc_id" else F.col("_others")[c].alias(c) for c in columns],
         F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
         zero(count - F.size("_short") - firsts_n).alias("n_exact"),
         zero(firsts_n - F.size("_own")).alias("n_near"),

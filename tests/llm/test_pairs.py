@@ -213,3 +213,32 @@ def test_line_dedup_is_native(spark, capsys):
     linededup.line_dedup(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).explain("formatted")
     plan = capsys.readouterr().out
     assert "Join" in plan and not any(x in plan for x in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_large_buckets_are_cut_again(spark, monkeypatch):
+    """All buckets count as large, so every link is found by the rounds."""
+    monkeypatch.setattr(linededup, "SMALL", 1)
+    rows = list(enumerate(_lines(6)))
+    for k in (1, 2):
+        links = _dedup(rows, k, 5)[1]
+        assert {(tuple(r.a), tuple(r.b)) for r in linededup.line_links(_docs(spark, [t for _, t in rows]), k, 5).collect()} == links
+
+
+def test_a_family_of_lines(spark):
+    """Lines that differ in a counter alone: many share a segment, few are within one edit."""
+    head, tail = "the same words stand before the number of this line ", " and these after it"
+    numbers = [7 * i + 100_000 for i in range(6_000)]
+    rows = [(d, "\n".join(f"{head}{k}{tail}" for k in numbers[d * 100 : d * 100 + 100])) for d in range(60)]
+    got = {(tuple(r.a), tuple(r.b)) for r in linededup.line_links(_docs(spark, [t for _, t in rows])).collect()}
+    first = {str(k): (i // 100, i % 100) for i, k in enumerate(numbers)}
+    want = {tuple(sorted((first[x], first[x[:p] + c + x[p + 1 :]]))) for x in first for p in range(6) for c in "0123456789" if c != x[p] and x[:p] + c + x[p + 1 :] in first}
+    assert got == want and len(want) > 1000
+
+
+def test_a_doc_id_with_several_texts(spark):
+    """A line that another text of the same doc_id has lost stays where it stands alone."""
+    one, two, b = "AAAA a line of the first text one", "BBBB a line of a second text two", "CCCC this line occurs in two places"
+    rows = [(0, b), (1, f"{one}\n{two}"), (1, f"{b}\n{one[:-3]}xyz"), (1, f"{one}\n{two}"), (None, b)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _th string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text, r.n_exact, r.n_near) for r in linededup.line_dedup(df).collect())
+    assert got == sorted([(0, b, 0, 0), (1, f"{one}\n{two}", 0, 0), (1, f"{one}\n{two}", 0, 0), (1, f"{one[:-3]}xyz", 1, 0), (-1, b, 0, 0)])
