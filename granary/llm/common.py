@@ -60,15 +60,15 @@ def sub_bits(rows: int, per_bucket: int = 50_000) -> int:
     return min(16, max(6, int(rows // per_bucket).bit_length()))
 
 
-def running(df: DataFrame, group: list[str], order: str, value: Column, out: str, bits: int, ties: list[str] = ()) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: str, value: Column, out: str, bits: int, ties: list[str] = (), bucket: Column | None = None) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same group that come before, in the order of the
     long column `order` (a hash) and then `ties`.
 
-    No group is sorted in one task. A group is cut by the top bits of `order` into 2^bits buckets; a small
-    table of bucket sums gives each bucket's start, and a window runs within buckets alone. Null group
+    No group is sorted in one task. A group is cut by the top bits of `order` into 2^bits buckets, or by `bucket`, which then comes
+    first in the order; a small table of bucket sums gives each bucket's start, and a window runs within buckets alone. Null group
     values form a group of their own. df is read twice, so it must give the same rows each time.
     """
-    df = df.withColumn("_v", value.cast("long")).withColumn("_b", F.shiftright(F.col(order), 64 - bits))
+    df = df.withColumn("_v", value.cast("long")).withColumn("_b", F.shiftright(F.col(order), 64 - bits) if bucket is None else bucket)
     sums = df.groupBy(*group, "_b").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_bb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))

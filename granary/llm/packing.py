@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import clean, mapped, running, staged, sub_bits
+from .common import mapped, running, staged, sub_bits
 
 #: Tokens of a sequence, tokens of a length class, id that ends a document.
 TOKENS, GRAIN, END = 2048, 8, 1
@@ -145,26 +145,29 @@ def encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, rid: the documents' tokens and the end id, cut every `tokens` ids."""
+def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int = END, in_order: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, rid: the documents' tokens and the end id, cut every `tokens` ids. With
+    in_order also file and row, the place in the files that docs was read from."""
+    place = ["file", "row"] if in_order else []
+    docs = docs.select("doc_id", "text", *([F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")] if in_order else []))
 
     def start():
         ids_of, ended = encoder(tokenizer_file), np.array([end], "<u4").tobytes()
 
         def run(rows: dict[str, list]) -> dict[str, list]:
-            out = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc_id, ids in zip(rows["doc_id"], ids_of(rows["text"])):
+            out = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *place)}
+            for doc_id, ids, *at in zip(rows["doc_id"], ids_of(rows["text"]), *[rows[c] for c in place]):
                 ids += ended
                 total = len(ids) // 4
                 for a in range(0, total, tokens):
                     part = ids[4 * a : 4 * (a + tokens)]
-                    for c, v in zip(out, (doc_id, a, len(part) // 4, zlib.crc32(part), total)):
+                    for c, v in zip(out, (doc_id, a, len(part) // 4, zlib.crc32(part), total, *at)):
                         out[c].append(v)
             return out
 
         return run
 
-    cut = mapped(clean(docs, "doc_id", "text"), start, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=64)
+    cut = mapped(docs, start, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", file string, row long" if in_order else ""), rows=64)
     return cut.withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -172,15 +175,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int
 SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
-def pack(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, grain: int = GRAIN, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, grain: int = GRAIN, end: int = END, in_order: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of docs (doc_id, text).
 
     Each id of a document, the end id included, lies in one piece; the pieces of a sequence fill it from 0 without gaps and
     have at most `tokens` ids. sequence_id counts from 0 without gaps. A null text is empty: the end id alone. Rows that repeat
-    are packed each for itself. An empty table gives none.
+    are packed each for itself. An empty table gives none. The pieces of a length class go into sequences in the order of a
+    hash; with in_order, which needs docs to be read from files, in the order of the files' names and rows.
     """
     spark = docs.sparkSession
-    cut = staged(pieces(docs, tokenizer_file, tokens, end), "pieces")
+    cut = staged(pieces(docs, tokenizer_file, tokens, end, in_order), "pieces")
     cut = cut.withColumns({"class": F.floor((F.col("length") + (grain - 1)) / grain).cast("int"), "_h": F.xxhash64("rid")})
     told = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most tokens / grain rows
     capacity = tokens // grain
@@ -200,7 +204,10 @@ def pack(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, grain: int
         sequence += times
     # as many rows as the patterns have classes: a bound that the vocabulary of classes sets, not the corpus
     deal = F.broadcast(spark.createDataFrame(rows, "_c int, _lo long, _hi long, _each long, _first long"))
-    ranked = running(cut, ["class"], "_h", F.lit(1), "_rank", sub_bits(cut.count(), 400_000), ["rid"])
+    if in_order:
+        ranked = running(cut, ["class"], "row", F.lit(1), "_rank", 0, ["start"], F.col("file"))
+    else:
+        ranked = running(cut, ["class"], "_h", F.lit(1), "_rank", sub_bits(cut.count(), 400_000), ["rid"])
     met = ranked.join(deal, (F.col("class") == F.col("_c")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     placed = met.withColumn("sequence_id", F.col("_first") + F.floor((F.col("_rank") - F.col("_lo")) / F.col("_each")).cast("long"))
     within = Window.partitionBy("sequence_id").orderBy(F.col("class").desc(), "_rank").rowsBetween(Window.unboundedPreceding, -1)

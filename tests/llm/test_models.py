@@ -5,11 +5,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from granary.llm import ann, mixing, packing, quality
+from granary.llm import ann, mixing, packing, quality, queries
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -143,6 +145,18 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0), TOKENS).count() == 0
 
 
+def test_packing_in_the_order_of_files(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.choice((20, 20, 300)))), "s") for i in range(600)]
+    _docs(spark, rows).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    packed = packing.pack(spark.read.parquet(f"{tmp_path}/docs"), TOKENS, in_order=True).collect()
+    assert sorted(r.doc_id for r in packed) == list(range(600))
+    by = defaultdict(list)
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        by[r.length].append((r.sequence_id, r.doc_id))
+    assert all([d for _, d in sorted(x)] == sorted(d for _, d in x) for x in by.values())
+
+
 def _targets(sizes, weights, share=1.5, repeats=2.0):
     """Water-filling by bisection: the level at which the capped targets reach the share."""
     want = min(share * sum(sizes), repeats * sum(sizes))
@@ -153,15 +167,17 @@ def _targets(sizes, weights, share=1.5, repeats=2.0):
     return [min(repeats * s, hi * w) for s, w in zip(sizes, weights)]
 
 
-def test_targets_match_water_filling():
+def test_targets_match_water_filling(spark):
     rng = random.Random(7)
-    for _ in range(100):
+    for _ in range(6):
         n = rng.randint(1, 9)
-        sizes = [rng.choice([0, 1, 10, 1000, 10**6]) * rng.randint(1, 9) for _ in range(n)]
-        weights = [(3, 1, 2)[i % 3] for i in range(n)]
-        if sum(sizes):
-            assert np.allclose(mixing.targets(sizes, weights), _targets(sizes, weights), rtol=1e-6, atol=1e-3)
-    assert mixing.targets([0, 0], [1, 1]) == [0, 0] and mixing.targets([], []) == []
+        sizes = [rng.choice([0, 1, 10, 1000, 10**6]) * rng.randint(1, 9) for _ in range(n)] + [5]
+        weights = [(3, 1, 2)[i % 3] for i in range(n + 1)]
+        df = spark.createDataFrame([(chr(97 + i), x) for i, x in enumerate(sizes)], "source string, size long").repartition(3)
+        got = sorted(mixing.plan(df).collect(), key=lambda r: r.number)
+        assert [r.source for r in got] == [chr(97 + i) for i in range(n + 1)] and [r.source_size for r in got] == sizes
+        assert np.allclose([r.target for r in got], _targets(sizes, weights), rtol=1e-6, atol=1e-3)
+        assert [r.lo for r in got] == [sum(x.quota for x in got[:i]) for i in range(n + 1)]
 
 
 def test_mix(spark):
@@ -192,23 +208,85 @@ def test_mix(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
-def test_schedule_spreads_each_source(spark):
-    sources = [mixing.Source("a", 0, 5000, 9000.0, 50, 90), mixing.Source("b", 1, 5000, 3000.0, 50, 30), mixing.Source("c", 2, 0, 0.0, 1, 0)]
-    rows = mixing.schedule(spark, sources).orderBy("slot").collect()
-    assert len(rows) == 120
-    a = [r.block for r in rows if r.source_index == 0]
-    assert a == [k % 50 for k in range(90)]
-    seen = np.cumsum([r.source_index == 0 for r in rows])
-    assert max(abs(n - 0.75 * (k + 1)) for k, n in enumerate(seen)) <= 4
+def _reversed(t, bits):
+    return int(format(t, f"0{bits}b")[::-1], 2) if bits else 0
+
 
+def test_slots_of_a_stretch_are_counted(spark):
+    rng = random.Random(3)
+    for bits in (0, 1, 5, 9):
+        lo, hi = sorted((rng.randint(0, 1 << bits), rng.randint(0, 1 << bits)))
+        lo, hi = (0, 1) if not bits else (lo, max(hi, lo + 1)) if lo < 1 << bits else (lo - 1, hi)
+        want = [t for t in range(1 << bits) if lo <= _reversed(t, bits) < hi]
+        rows = spark.range(hi - lo).select(mixing.slot_of(F.col("id"), F.lit(lo), F.lit(hi), bits).alias("t"), "id").orderBy("id").collect()
+        assert [r.t for r in rows] == want
 
-def test_more_sources_than_the_driver_takes(spark, monkeypatch):
+
+def test_the_mix_is_near_its_weights_from_its_beginning(spark):
+    """Slots against the schedule made one by one; every stretch of the mix has each source's share."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)), rng.choice("aabc")) for i in range(2500)]
+    df = _docs(spark, rows)
+    plan = {r.number: r for r in mixing.plan(df.select("source", mixing.n_words(df.text).alias("size"))).collect()}
+    total = sum(p.quota for p in plan.values())
+    bits = (total - 1).bit_length()
+    seen, want = dict.fromkeys(plan, 0), {}
+    for t in range(1 << bits):
+        for i, p in plan.items():
+            if p.lo <= _reversed(t, bits) < p.hi:
+                want[t] = (i, seen[i] % p.blocks)
+                seen[i] += 1
+    got = mixing.mix_pieces(df).orderBy("slot", "start").collect()
+    assert {r.slot: (r.source_index, r.block) for r in got} == want
+    size = {i: len(t.split()) for i, t, _ in rows}
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r.start and r.start + r.length <= size[r.doc_id] and r.length > 0
+        taken[r.doc_id] += r.length
+    mixed = mixing.mix(df).collect()
+    assert {r.doc_id: r.taken for r in mixed if r.taken} == taken
+    first = {}
+    for r in got:
+        first[r.doc_id] = min(r.slot, first.get(r.doc_id, r.slot))
+    assert {r.doc_id: r.slot for r in mixed if r.taken} == first
+    share = {i: p.target / sum(x.target for x in plan.values()) for i, p in plan.items()}
+    words, by = 0, defaultdict(int)
+    for r in got:
+        words += r.length
+        by[r.source_index] += r.length
+        each = max(p.source_size / p.blocks for p in plan.values()) + 1
+        assert all(abs(by[i] - share[i] * words) <= 4 * each + 0.02 * words for i in plan)
+    order = [(r.source_index, r.slot) for r in got]
+    assert [s for _, s in order] == sorted(s for _, s in order)
+    # the documents' order is that of their first words
+    names = sorted({s for _, _, s in rows})
+    out = [r.source for r in mixing.mixed_documents(df).collect()]
+    for k in range(400, len(out), 200):
+        for i, n in enumerate(names):
+            docs = sum(1 for _, t, s in rows if s == n and t)
+            assert abs(out[:k].count(n) / k - (plan[i].quota / plan[i].blocks * docs) / len(out)) < 0.08
+
+
+def test_mix_is_what_sql_says(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice((0, 3, 30, 400)))), rng.choice([None, "é", "\U0001f600", *"aaaaabcdefghij"])) for i in range(900)]
+    rows += [(2000, "only three words", "tiny"), (2001, None, "tiny"), (2002, "", "empty"), (None, "a text of no id", "b"), (2003, "w " * 30000, "large")]
+    _docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(queries.ORACLE_SQL["op10_mixing"]).fetchall(), key=str)
+    got = queries.op10_mixing(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "slot"]
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), "en", rng.choice([None, "é", "\U0001f600", *"abcdefghij"]), 0) for i in range(300)] + [(300, "", "en", "empty", 0), (301, "w " * 30000, "en", "large", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    told = lambda: {r.doc_id: (r.source, r.size, r.source_size, round(r.target, 6), r.taken, r.ranges) for r in mixing.mix(df).collect()}
+    told = lambda: {r.doc_id: (r.source, r.size, r.source_size, round(r.target, 6), r.taken, r.slot, r.ranges) for r in mixing.mix(df).collect()}
     want = told()
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
     assert told() == want and len(want) == 302
     assert mixing.mix(df.limit(0)).count() == 0
 
