@@ -27,18 +27,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, in the mix's order."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents with their places in sequences of 2048 tokens, filled in the order of the mix (of the files read)."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), in_order=True)
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
-#: No SQL: training, minhashes and tokens can't be told in it. Each stage is held against a brute-force version in the tests.
+#: No SQL: training, minhashes and tokens can't be told in it. The operators are held against brute force in their tests, the stages against what they promise of their own input.
 ORACLE_SQL = None
 
 
