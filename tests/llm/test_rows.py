@@ -193,3 +193,47 @@ def test_media_round_trip(spark):
         assert len(got[i].feature) == 16
     assert (got[2].media_sha256, got[2].feature) == (got[4].media_sha256, got[4].feature)
     assert media.media_features(media.to_media(_docs(spark, ["x"]).limit(0))).count() == 0
+
+
+def test_pages_match_all_labellings():
+    """Whole generated pages: the labels are those of least cost among all, and the cut is right more often than each block's own costs."""
+    rng, weights = random.Random(7), htmltext.classifier()
+    wrong = own = flipped = tried = 0
+    for _ in range(400):
+        page, content = htmltext.example(rng)
+        found = htmltext.blocks(page)
+        u, e = htmltext.log_odds(found, weights), htmltext.edges(found)
+        got = htmltext.labels(found, weights)
+        text = [b.text for b, k in zip(found, got) if k]
+        assert htmltext.main_text(page).split("\n") == (text or [""])
+        wrong += sum((b.text in content) != k for b, k in zip(found, got))
+        own += sum((b.text in content) != (x >= 0) for b, x in zip(found, u))
+        flipped += sum((x >= 0) != k for x, k in zip(u, got))
+        if len(found) <= 12:
+            tried += 1
+
+            def cost(y):
+                return sum(abs(x) for x, k in zip(u, y) if (x >= 0) != k) + sum(w for i, j, w in e if y[i] != y[j])
+
+            assert abs(cost(got) - min(map(cost, itertools.product((True, False), repeat=len(found))))) < 1e-9
+    assert tried >= 20 and flipped >= 100 and wrong < 0.85 * own
+
+
+def test_cut_and_hostile_pages_are_linear():
+    import time
+
+    began = time.time()
+    for part in ("<a ", "<!", "</", "<!--", '<p class="', "<svg>", "<a '\"", "<script>", '"x" ', "<button>"):
+        htmltext.main_text("<p>text stays</p><a " + part * 40_000)
+        htmltext.main_text(part * 40_000)
+    assert time.time() - began < 20
+    told = "A sentence of the article that is long enough to be read as such."
+    assert htmltext.main_text(f"<article><p>{told}</p><p>{told}<a " + '"x" ' * 20) == f"{told}\n{told}"
+
+
+def test_names_of_the_page_are_no_boilerplate():
+    told = "A sentence of the article that is long enough to be read as such. " * 6
+    want = f"The title of it\n{told.strip()}"
+    for start, end in (('<div class="blog-search">', "</div>"), ('<div class="main-menu-open page"><article>', "</article></div>"), ('<div class="has-sidebar">', "</div>"), ('<div class="page-header layout"><main>', "</main></div>")):
+        page = f'<body><nav><a href="/">Home</a></nav>{start}<h1>The title of it</h1><p>{told}</p>{end}<div class="sidebar"><p>Other stories of the day.</p></div></body>'
+        assert htmltext.main_text(page) == want, start
