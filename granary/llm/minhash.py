@@ -6,7 +6,10 @@ A pair of similarity s shares a table with probability (1 - (1 - s^r)^m)^2.
 
 Equal sets are one class before any key is made. Within a table bucket every member is first held
 against the bucket's smallest class, which is linear in the bucket. Buckets whose members still lie in more
-than one component afterwards have all their pairs across components confirmed, so no link is lost.
+than one component afterwards are open, and all their pairs across components that may link are confirmed, so no link is lost. In a
+small open bucket they are made as they are. Members of large ones (texts from one template, each other's near miss) are joined on
+the rarest shingles of their sets instead: two sets that are similar enough share one of the few rarest of the smaller set, and there
+a template's shingles, which all members have, don't come up.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordIds, clean, mapped, mixed, shingles, staged
 
@@ -22,6 +26,8 @@ from .common import WordIds, clean, mapped, mixed, shingles, staged
 HALVES, ROWS, WIDTH = 8, 2, 5
 #: A sketch has 2^SKETCH_BITS bits.
 SKETCH_BITS = 10
+#: Classes of an open bucket whose pairs are made at once; those of larger ones are joined on their rarest shingles.
+SMALL = 16
 #: Ids up to this many (about 2 MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 
@@ -92,7 +98,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _class_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
     """class, s of the classes in need (class, rep, s1, s2), written once. A doc_id may stand on several rows with several
-    texts, so a class is told by its doc_id and its set."""
+    texts, so a class is told by its doc_id and its set's 128 bits."""
     need = need.select("class", "rep", F.col("s1").alias("c1"), F.col("s2").alias("c2"))
     sets = _sets(docs, need.select(F.col("rep").alias("id")), width)
     sets = sets.join(need, (sets.id == need.rep) & (sets.s1 == need.c1) & (sets.s2 == need.c2)).groupBy("class").agg(F.first("s").alias("s"))
@@ -145,9 +151,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members (key, comp, ...) of buckets that lie in several components."""
-    split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return members.join(split, "key", "left_semi")
+    """The members (key, comp, ...) of buckets that lie in several components, with the bucket's size."""
+    split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    return members.join(split, "key")
+
+
+def _small_pairs(open_: DataFrame, percent: int, halves: int) -> DataFrame:
+    """a, b: pairs across components of small open buckets that may link, each made in one table."""
+    side = lambda x: open_.select("key", F.col("table").alias(f"t{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("half").alias(f"h{x}"), F.col("comp").alias(f"c{x}"))
+    may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b", percent) & _first_table("a", "b", halves)
+    return side("a").join(side("b"), "key").where(may).select("a", "b").distinct()
+
+
+def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs across components of sets (class, comp, s) that may be similar enough, by prefixes of their rarest shingles.
+
+    Shingles are ordered by the number of sets that have them; those of a single component come first, as they pair nothing. Of sets
+    x and y, x no larger, that share t / (1 + t) * (|x| + |y|) shingles, one of these is among the first |x| - 2t / (1 + t) * |x| + 1 of x
+    and the first |y| - t * |y| + 1 of y. Pairs that can't share enough after the one that they meet at aren't made.
+    """
+    each = sets.select("class", "comp", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle", "often")
+    of_set = Window.partitionBy("class")
+    met = each.join(often, "shingle").withColumns({"rank": F.row_number().over(of_set.orderBy("often", "shingle")), "k": F.count("*").over(of_set)})
+    # place from 1; in whole numbers: t = percent / 100
+    place = met.withColumn("place", F.col("n") - F.col("k") + F.col("rank")).drop("rank", "k", "often")
+    place = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    side = lambda x, df: df.select("shingle", F.col("class").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"at{x}"))
+    index = side("a", place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) + 1
+    may = (F.col("ca") != F.col("cb")) & smaller & (100 * F.col("na") >= percent * F.col("nb")) & ((100 + percent) * left >= percent * (F.col("na") + F.col("nb")))
+    return index.join(side("b", place), "shingle").where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -160,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     """
     sig = staged(signatures(docs, halves, rows, width), "signatures")
     linked = sig.where("n > 0 and doc_id is not null")
-    classes = staged(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("parity").alias("parity"), F.first("n").alias("n")).withColumn("class", F.xxhash64("s1", "s2")), "classes")
+    classes = staged(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("parity").alias("parity"), F.first("n").alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
     tables = F.array(*[F.xxhash64(F.col("half")[i], F.col("half")[halves + j], F.lit(i * halves + j)) for i in range(halves) for j in range(halves)])
     rows_ = classes.select("class", F.posexplode(tables).alias("table", "key"))
     lead = rows_.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead < last").select("key", "lead")
@@ -168,19 +203,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     tried = staged(shared.where("lead < class").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     sets = _class_sets(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
     edges = staged(_confirmed(tried, sets, percent), "links")
-    while True:
-        labels = components(edges)
-        named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "table", "class", F.coalesce("comp", "class").alias("comp"))
-        open_ = _open(named).join(classes.select("class", "n", "parity", "half"), "class")
-        side = lambda x: open_.select("key", F.col("table").alias(f"t{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("half").alias(f"h{x}"), F.col("comp").alias(f"c{x}"))
-        may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b", percent) & _first_table("a", "b", halves)
-        more = staged(side("a").join(side("b"), "key").where(may).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            break
-        found = staged(_confirmed(more, sets, percent), "links")
-        if found.isEmpty():
-            break
-        tried, edges = tried.union(more), edges.union(found)
+    labels = components(edges)
+    named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "table", "class", F.coalesce("comp", "class").alias("comp"))
+    open_ = staged(_open(named), "open")
+    about = classes.select("class", "n", "parity", "half")
+    small = _small_pairs(open_.where(F.col("size") <= SMALL).join(about, "class"), percent, halves)
+    more = small
+    large = open_.where(F.col("size") > SMALL).select("class", "comp").distinct()
+    if not large.isEmpty():
+        rare = staged(rare_pairs(sets.join(large, "class"), percent), "rare")
+        side = lambda x: about.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+        more = small.union(rare.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", percent)).select("a", "b"))
+    found = staged(_confirmed(staged(more.join(tried, ["a", "b"], "left_anti").distinct(), "more"), sets, percent), "links")
+    if not found.isEmpty():
+        labels = components(edges.union(found))
     # classes, and the ids that have several rows, give the components of doc_ids
     comp = classes.select("class", "s1", "s2", "rep").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("s1", "s2", "rep", F.coalesce("comp", "class").alias("comp"))
     low = comp.groupBy("comp").agg(F.min("rep").alias("component"))

@@ -66,6 +66,46 @@ def test_a_chain_is_one_component_and_open_buckets_are_settled(spark):
     assert got == _components(list(enumerate(texts)), 85)
 
 
+def _templates(seed, docs, words=120, own=20):
+    """Texts of one template, each with `own` words of its own, in places of their own."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(words)]
+    out = []
+    for d in range(docs):
+        w, at = list(base), rng.randrange(words - own)
+        w[at : at + own - d % 5] = [f"o{d}_{k}" for k in range(own - d % 5)]
+        out.append(" ".join(w))
+    return out
+
+
+def test_templates_match_brute_force(spark, monkeypatch):
+    """Many texts of one template just above and under the threshold, in open buckets of any size."""
+    texts = _templates(3, 60, 120, 12) + _templates(4, 60, 100, 6) + _near_copies(8, 2, 9, 40)
+    want = _components(list(enumerate(texts)), 85)
+    for small in (0, 16):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(_docs(spark, texts), 85).collect()}
+        assert got == want
+    assert 3 < len(set(want.values())) < len(texts)
+
+
+def test_rare_pairs_lose_no_link(spark):
+    rng = random.Random(6)
+    base = [rng.randrange(10**6) for _ in range(40)]
+    sets = [sorted({*rng.sample(base, rng.randint(20, 40)), *(rng.randrange(10**6) for _ in range(rng.randint(0, 6)))}) for _ in range(150)]
+    df = spark.createDataFrame([(i, i // 3, s) for i, s in enumerate(sets)], "class long, comp long, s array<long>")
+    got = {(r.a, r.b) for r in minhash.rare_pairs(df, 80).collect()}
+    links = {(a, b) for b in range(150) for a in range(b) if a // 3 != b // 3 and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert links and links <= got
+
+
+def test_many_texts_of_one_template(spark):
+    """None is linked, and no pair is made but those of the first round."""
+    texts = _templates(5, 3000, 140, 24)
+    rows = minhash.near_duplicates(_docs(spark, texts), 85).collect()
+    assert len(rows) == 3000 and all(r.kept for r in rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     same = "a b c d e f g"
     got = minhash.near_duplicates(_docs(spark, [same, same, "other words stand here now", same, None], [7, 7, 9, None, 3])).collect()
