@@ -6,8 +6,9 @@ prefix matches and then up again in all trees at once, a bit at a time, until th
 prefixes so have the length that the data's density asks for. Candidates are scored exactly.
 
 All rows are indexed: the vectors are dealt into blocks by a hash of their id, each block has its own forest, and blocks of
-queries meet every block of vectors; a query's best of all blocks are merged. Vectors of unequal norms are put on a sphere
-by one more coordinate, which turns the largest inner product into the smallest angle.
+queries meet every block of vectors; a query's best of all blocks are merged. Blocks grow with the table, so that few copies of a vector are
+sent. Vectors of unequal norms are put on a sphere by one more coordinate, which turns the largest inner product into the smallest angle.
+Everything but the scores is computed on vectors scaled by powers of two, so that no magnitude overflows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,19 @@ from .common import staged
 TREES, BITS, PART = 128, 32, 0.35
 #: So many candidates are taken at least, or all of a smaller block.
 LEAST = 1024
-#: Vectors of a block of the index and of a block of queries.
-BLOCK, QUERIES = 8192, 2048
+#: Vectors of a block of the index: the least, and the most (of 64 dimensions a forest of these has some 200 MB); between them a table
+#: has BLOCKS blocks. Vectors of a block of queries.
+BLOCK, MOST_BLOCK, BLOCKS, QUERIES = 8192, 65536, 256, 16384
 SEED = 20
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x times a power of two, so that its largest component is between 0.5 and 1."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) if x.size else x
+
+
 class Forest:
-    """A forest over distinct vectors (rows of x, float64)."""
+    """A forest over distinct vectors (rows of x, float64, scaled)."""
 
     def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> None:
         self.x, self.trees, self.bits = x, trees, bits
@@ -84,20 +91,23 @@ class Forest:
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, part: float = PART, trees: int = TREES, bits: int = BITS):
     """(query ids, vector ids, scores): each query's k best of its candidates in one block, itself left out. Equal vectors are
-    one entry of the forest, with as many of their smallest ids as a result can hold."""
+    one entry of the forest, with as many of their smallest ids as a result can hold. Scores that overflow are infinite, those that aren't
+    numbers (an infinite part less another) come last."""
     kinds, member = np.unique(x, axis=0, return_inverse=True)
     member = member.ravel()
     by = np.lexsort((ids, member))
     starts = np.searchsorted(member[by], np.arange(len(kinds) + 1))
-    forest = Forest(kinds, trees, bits)
+    forest = Forest(_scaled(kinds), trees, bits)
+    near = np.stack([_scaled(q) for q in queries]) if len(queries) else queries
     least = min(len(kinds), max(LEAST, 4 * k, int(np.ceil(part * len(kinds)))))
     out_q, out_v, out_s = [], [], []
-    for q, (query, found) in enumerate(zip(queries, forest.candidates(queries, least))):
-        rough = forest.x32[found] @ query.astype(np.float32)
+    for q, (query, small, found) in enumerate(zip(queries, near, forest.candidates(near, least))):
         if len(found) > 4 * k:  # single precision leaves out what can't be among the k + 1 best
+            rough = forest.x32[found] @ small.astype(np.float32)
             limit = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-            found = found[rough >= limit - 1e-4 * (abs(limit) + forest.norm * np.sqrt((query * query).sum()))]
-        score = (kinds[found] * query).sum(1)
+            found = found[rough >= limit - 1e-4 * (abs(limit) + forest.norm * np.sqrt((small * small).sum()))]
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (kinds[found] * query).sum(1)
         v = [by[starts[f] : min(starts[f + 1], starts[f] + k + 1)] for f in found]
         s = np.repeat(score, [len(a) for a in v])
         v = ids[np.concatenate(v)]
@@ -117,7 +127,7 @@ def valid(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", fine) & F.exists("v", lambda x: x != 0), F.lit(False)))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, part: float = PART, block: int = BLOCK, queries: int = QUERIES, column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, part: float = PART, block: int | None = None, queries: int = QUERIES, column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each row whose vec_id is divisible by `every` the k rows, others than
     itself, of the largest inner product that the forest finds; ties go to the smaller vec_id.
 
@@ -127,7 +137,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, part: float = PART
     """
     rows = staged(valid(vectors, column).distinct(), "vectors")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n_blocks, n_queries = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // queries))
+    n = rows.count()
+    n_blocks, n_queries = max(1, -(-n // (block or min(MOST_BLOCK, max(BLOCK, -(-n // BLOCKS)))))), max(1, -(-asked.count() // queries))
     h = F.xxhash64("vec_id")
     dim = F.size("v").alias("dim")
     cut = lambda n: F.sequence(F.lit(0), F.lit(n - 1))

@@ -24,12 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set a local master, as in tests, gets a new one; on a
+    cluster that is an error, as executors would write where nobody else can read."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="granary-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,13 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet under the shared folder and read again: it cuts the lineage and
-    survives lost executors. The files go when the application ends."""
+    survives lost executors. The files go by released(), or when the application ends; those of a killed one lie in
+    the folder of its id."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/granary-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._staged_at = at
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing will read again; other frames are left alone."""
+    for df in frames:
+        if at := getattr(df, "_staged_at", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(text: str | None) -> bytes:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, staged
+from .common import released, running, staged
 
 #: Edits allowed, and the characters from which a line is looked at; shorter lines always stay.
 EDITS, MIN_CHARS = 1, 16
@@ -176,7 +176,9 @@ def _met(texts: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
         for _, left in _keys(F.col("line"), F.char_length("line"), role, edits):
             rest = F.when(F.col("j") == j, left).otherwise(rest)
             j += 1
-    return staged(found.withColumn("rest", rest).drop("j"), "lines")
+    out = staged(found.withColumn("rest", rest).drop("j"), "lines")
+    released(asked)
+    return out
 
 
 def _again(hot: DataFrame, edits: int) -> DataFrame:
@@ -217,10 +219,13 @@ def _plan(docs: DataFrame, edits: int, min_chars: int, exact_chars: int | None =
         hot = (F.col("size") > SMALL) & (F.char_length("rest") - F.greatest("role", F.lit(0)) > edits)
         found = staged(_links(met.where(~hot), edits), "links")
         links = found if links is None else links.unionAll(found)
-        large = met.where(hot)
-        if large.isEmpty():
+        large, done = met.where(hot), met
+        last = large.isEmpty()
+        if not last:
+            met = _again(large, edits)
+        released(done)
+        if last:
             return docs, firsts.select(*_OCC), links.distinct()
-        met = _again(large, edits)
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordIds, clean, mapped, mixed, shingles, staged
+from .common import WordIds, clean, mapped, mixed, released, shingles, staged
 
 #: Half-keys in each collection, minhashes in a half-key, words in a shingle.
 HALVES, ROWS, WIDTH = 8, 2, 5
@@ -139,14 +139,16 @@ def components(edges: DataFrame) -> DataFrame:
     chains shorten by doubling. Labels are written to the shared folder each round.
     """
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
+    old = labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         up = step.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         new = staged(step.join(up, "comp", "left").select("node", "was", F.least("comp", F.coalesce("top", "comp")).alias("comp")), "labels")
-        labels = new.select("node", "comp")
+        released(old)
+        old, labels = new, new.select("node", "comp")
         if new.where("comp <> was").isEmpty():
+            released(both)
             return labels
 
 
@@ -221,6 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     comp = classes.select("class", "s1", "s2", "rep").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("s1", "s2", "rep", F.coalesce("comp", "class").alias("comp"))
     low = comp.groupBy("comp").agg(F.min("rep").alias("component"))
     named = staged(linked.select("doc_id", "s1", "s2").join(comp, ["s1", "s2"]).join(low, "comp").select("doc_id", "component").distinct(), "named")
+    released(shared, tried, sets, edges, open_, found)
     again = named.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component").alias("component"))
     if not again.where("k > 1").isEmpty():
         merged = components(named.join(again.where("k > 1").select("doc_id", F.col("component").alias("b")), "doc_id").select(F.col("component").alias("a"), "b"))

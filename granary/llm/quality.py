@@ -14,10 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordIds, clean, mapped, text_bytes
+from .common import LOWER, WordIds, mapped, released, staged, text_bytes
 
-#: Most labelled rows that are used for training, hash buckets of words, rank of the interactions.
-TRAIN_ROWS, BUCKETS, RANK = 6000, 1 << 14, 8
+#: Most labelled rows and most of their features (8 bytes each) that are used for training, hash buckets of words, rank of the
+#: interactions.
+TRAIN_ROWS, TRAIN_FEATURES, BUCKETS, RANK = 6000, 8_000_000, 1 << 14, 8
 ACCEPT = 0.3
 EPOCHS, RATE, L2, SEED = 8, 0.08, 1e-5, 7
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower, 3 digit, 4 white space, 5 ASCII punctuation, 6 beyond ASCII
@@ -121,10 +122,12 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", n.alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> Machine:
-    """A machine for the label, from the at most `most` labelled rows not held out whose hashed doc_id is smallest. Rows
-    without a text of their own in docs, and labels other than 0 and 1, don't count."""
-    chosen = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES) -> Machine:
+    """A machine for the label, from the at most `most` labelled rows not held out whose hashed doc_id is smallest, as long as
+    they have no more than most_features features together. Rows without a text of their own in docs, and labels other than 0 and 1,
+    don't count; of several texts of one doc_id the one of the smallest hash does."""
+    order = F.xxhash64("doc_id")
+    chosen = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(order, "doc_id").limit(most)
 
     def start():
         ids = WordIds()
@@ -135,12 +138,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
         return run
 
-    rows = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "label")  # at most `most` rows
-    made = mapped(rows, start, "doc_id long, label int, i array<int>, x array<float>").toArrow()
-    order = np.lexsort((np.array(made.column("i").combine_chunks().value_lengths()) if made.num_rows else np.empty(0), np.array(made.column("doc_id")))) if made.num_rows else []
-    taken = made.take(order) if made.num_rows else made
-    f = [(np.array(i.values), np.array(x.values, np.float64)) for i, x in zip(taken.column("i"), taken.column("x"))]
-    return fit(f, np.array(taken.column("label"), np.float64))
+    rows = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.struct(F.xxhash64("text", "n_chars").alias("h"), "text", "n_chars").alias("row"))  # at most `most` rows are sent
+    rows = rows.groupBy("doc_id", "label").agg(F.min("row").alias("row")).select("doc_id", "label", "row.text", "row.n_chars")
+    made = staged(mapped(rows, start, "doc_id long, label int, i array<int>, x array<float>"), "training")
+    taken, left = [], most_features
+    for r in made.select("doc_id", F.size("i").alias("k")).orderBy(order, "doc_id").collect():  # at most `most` rows
+        left -= r["k"]
+        if left < 0:
+            break
+        taken.append((r["doc_id"],))
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    got = made.join(F.broadcast(ids), "doc_id").toArrow()
+    released(made)
+    got = got.take(np.argsort(np.array(got.column("doc_id")))) if got.num_rows else got
+    f = [(np.array(i.values), np.array(x.values, np.float64)) for i, x in zip(got.column("i"), got.column("x"))]
+    return fit(f, np.array(got.column("label"), np.float64))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import running, staged, sub_bits
 
+#: Equal rows that leave as one stretch; larger groups are cut into stretches that are spread over all tasks.
+CHUNK = 4096
+
 
 def draw(key: Column, shard: int, weight: float) -> Column:
     """-ln(u) / weight, u in (0, 1) from 53 bits of a hash. A null key counts as a key of its own."""
@@ -35,13 +38,19 @@ def sharded(docs: DataFrame, weights: Sequence[float], grown: float | None = 1.0
 
     slot counts the shard's rows from 0 without gaps, in the order of a hash of the row. grown_shard is the
     shard with one more of weight `grown`. A null text has no bytes and the check sum of the empty one; a null key is a
-    key of its own. Equal rows are counted before they are shuffled and then get slots side by side, so one key on a
-    third of all rows is no hot group. An empty table gives none.
+    key of its own. Equal rows are counted before they are shuffled and then get slots side by side, in stretches of
+    CHUNK that any task can make, so one key on a third of all rows is no hot group. An empty table gives none.
     """
     rows = docs.select(F.col(key).alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"))
     told = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
     told = told.withColumns({"shard": shard_of(F.col("doc_id"), list(weights)), "grown_shard": shard_of(F.col("doc_id"), [*weights, grown]) if grown else F.lit(None).cast("int")})
     told = staged(told.withColumn("_h", F.xxhash64("doc_id", "size", "text_crc32")), "shards")
     placed = running(told, ["shard"], "_h", F.col("_n"), "_at", sub_bits(told.count() // len(weights)), ["doc_id", "size", "text_crc32"])
-    slots = placed.withColumn("slot", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1)))
+    cut = placed.withColumn("_from", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1, F.lit(CHUNK).cast("long"))))
+    cut = cut.withColumn("_to", F.least(F.col("_from") + CHUNK, F.col("_at") + F.col("_n")) - 1)
+    hot = F.col("_n") > CHUNK
+    # a number of partitions is given, as a stretch is small before it is made and Spark would put many into one task
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut.where(~hot) if told.where(hot).isEmpty() else cut.where(~hot).union(cut.where(hot).repartition(n, "_from"))
+    slots = spread.withColumn("slot", F.explode(F.sequence("_from", "_to")))
     return slots.select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard")

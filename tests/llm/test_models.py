@@ -64,6 +64,31 @@ def _junk(rng):
     return " ".join(w.upper() + "!!" for w in words) if kind == 0 else " | ".join(words) if kind == 1 else " ".join(w for w in words[:8] for _ in range(9))
 
 
+def test_neighbours_of_any_magnitude():
+    rng = np.random.default_rng(3)
+    for size in (1e-100, 1e-30, 1.0, 1e19, 1e150, 1e300):
+        x = rng.standard_normal((300, 8)) * size
+        q, v, s = ann.search_block(np.arange(300), x, np.arange(0, 300, 20), x[::20], 5)
+        assert len(q) == 15 * 5 and (np.bincount(q, minlength=300)[::20] == 5).all()
+        if size <= 1e150:
+            for i in range(0, 300, 20):
+                assert v[q == i].tolist() == _best(np.arange(300), x, i, 5)[0]
+
+
+def test_training_rows_are_bounded(spark):
+    """Many rows of one doc_id count as one, and the features that come to the driver have a bound."""
+    df = _docs(spark, [(1, f"text number {i}", "s") for i in range(500)] + [(i, f"good words here {i}", "s") for i in range(2, 60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen, own = [], quality.fit
+    quality.fit = lambda rows, y, *a, **k: (seen.append((len(rows), sum(len(i) for i, _ in rows))), own(rows, y, *a, **k))[1]
+    try:
+        quality.train(df, labels)
+        quality.train(df, labels, most_features=400)
+    finally:
+        quality.fit = own
+    assert 40 < seen[0][0] < 60 and 0 < seen[1][0] < seen[0][0] and seen[1][1] <= 400
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(20, 80))) + "." if i % 4 else _junk(rng), "s") for i in range(900)]

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import htmltext, media, secrets, sharding
 
@@ -35,6 +36,19 @@ def test_shards(spark):
     assert sharding.sharded(_docs(spark, ["x"]).limit(0), [1.0]).count() == 0
 
 
+def test_many_equal_rows_leave_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 100)
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, null, id % 10) as doc_id", "'same' as text")
+    out = sharding.sharded(df, [1.0] * 4)
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 20_000 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    own = [r.task for r in rows if r.doc_id is None]
+    assert len(own) == 10_000 and len(set(own)) > 1
+
+
 def test_shards_follow_weights_and_move_little(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'t' as text")
     rows = sharding.sharded(df, [1.0, 3.0, 2.0], 2.0).collect()
@@ -142,6 +156,13 @@ def test_secret_spans(spark):
         ('signing_keys = ["q8T!x77zzAKz9", "none"]\nsigning_key = [\n "zz8T!x77zzAK"]', ["zz8T!x77zzAK"]),
         ('signing_key = "q8Ttrue!x77<none"', ["q8Ttrue!x77<none"]),
         ('signing_key = "yourQ8T!x77password"', ["yourQ8T!x77password"]),
+        ("signing_key = b'q8T!x77zzAKz9'", ["q8T!x77zzAKz9"]),
+        ('signing_key = rb"""q8T!x77zzAKz9"""\nother = 1', ["q8T!x77zzAKz9"]),
+        ('signing_key = """\nq8T!x77zzAKz9\n"""', ["\nq8T!x77zzAKz9\n"]),
+        ('signing_key = "q8T!\\x7877zzAKz9"', ["q8T!\\x7877zzAKz9"]),
+        ("signing_key: |\n  q8T!x77zzAKz9\nother: zzz8T!x77zzAK", ["q8T!x77zzAKz9"]),
+        ("signing_key: >-\n  q8T!x77z\n  zAKz9q8T\nother: 1", ["q8T!x77z", "zAKz9q8T"]),
+        ('a = ""\nsigning_key = a + "" + "q8T!x77zzAKz9"', ["q8T!x77zzAKz9"]),
         ('signing_key = "your-signing-key-9"\nsigning_key = "<SIGNING-key-9>"\nsigning_key = "Password-None"', []),
     ],
 )
@@ -149,6 +170,19 @@ def test_lexed_values(text, want):
     assert [text[a:b] for a, k, b in secrets.scan(text) if k == 3] == want
 
 
+def test_names_that_refer_to_themselves_cost_a_reference():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    for line in ("token = token + token\n", 'token = token + ""\n', 'token = "" + token + "q8T!x77z"\n', "a_token = token\n"):
+        spans = secrets.scan('token = "abcdefgh"\n' + line * 3000)
+        assert len(spans) <= 4000
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def _png(rows, width, colour, filters):
     body = b"".join(bytes([f]) + r for f, r in zip(filters, rows))
     head = struct.pack(">IIBBBBB", width, len(rows), 8, colour, 0, 0, 0)
