@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import linededup, minhash, mixing, packing, quality
-from granary.llm.common import staged, table
+from granary.llm.common import released, staged, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +46,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages' result over the documents table; each stage's output is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs, before = staged(stage(spark, docs, sf_dir), name), docs
+        released(before)
     return STAGES[-1][1](spark, docs, sf_dir)
