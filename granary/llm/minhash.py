@@ -7,7 +7,8 @@ A pair of similarity s shares a table with probability (1 - (1 - s^r)^m)^2.
 Equal sets are one class before any key is made. Within a table bucket every member is first held
 against the bucket's smallest class, which is linear in the bucket. Buckets whose members still lie in more
 than one component afterwards are open, and all their pairs across components that may link are confirmed, so no link is lost. In a
-small open bucket they are made as they are. Members of large ones (texts from one template, each other's near miss) are joined on
+small open bucket they are made as they are. Large ones first get a few more rounds against other members, so that a large group of near
+copies grows together; those still open then (texts from one template, each other's near miss) are joined on
 the rarest shingles of their sets instead: two sets that are similar enough share one of the few rarest of the smaller set, and there
 a template's shingles, which all members have, don't come up.
 """
@@ -28,6 +29,8 @@ HALVES, ROWS, WIDTH = 8, 2, 5
 SKETCH_BITS = 10
 #: Classes of an open bucket whose pairs are made at once; those of larger ones are joined on their rarest shingles.
 SMALL = 16
+#: Rounds at most in which the members of large open buckets are held against one of them.
+ROUNDS = 4
 #: Ids up to this many (about 2 MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 
@@ -158,6 +161,42 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(split, "key")
 
 
+def _relabelled(comp_of: DataFrame, labels: DataFrame) -> DataFrame:
+    """comp_of (class, comp) after the labels (node, comp) of components."""
+    new = labels.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return staged(comp_of.join(new, "comp", "left").select("class", F.coalesce("to", "comp").alias("comp")), "comps")
+
+
+def _merged(comp_of: DataFrame, found: DataFrame) -> DataFrame:
+    """comp_of after more links a, b of classes, which tie the components that they lie in."""
+    side = lambda x: comp_of.select(F.col("class").alias(x), F.col("comp").alias(f"c{x}"))
+    tied = found.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    return _relabelled(comp_of, components(tied))
+
+
+def _untried(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """The pairs without those of any earlier round."""
+    for tried in done:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return pairs
+
+
+def _those_that_may(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches leave room for a link."""
+    side = lambda x: about.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
+
+
+def _lead_pairs(open_: DataFrame, turn: int, about: DataFrame, percent: int) -> DataFrame:
+    """a, b: the members of open buckets, each with one of its bucket in another component that the turn picks."""
+    open_ = open_.select("key", "class", "comp")
+    drawn = open_.withColumn("draw", F.xxhash64("class", F.lit(turn)))
+    lead = drawn.groupBy("key").agg(F.min("draw").alias("draw"))
+    lead = drawn.join(lead, ["key", "draw"]).select("key", F.col("class").alias("lead"), F.col("comp").alias("own"))
+    met = open_.join(lead, "key").where("comp <> own").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
+    return _those_that_may(met, about, percent)
+
+
 def _small_pairs(open_: DataFrame, percent: int, halves: int) -> DataFrame:
     """a, b: pairs across components of small open buckets that may link, each made in one table."""
     side = lambda x: open_.select("key", F.col("table").alias(f"t{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("half").alias(f"h{x}"), F.col("comp").alias(f"c{x}"))
@@ -205,25 +244,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     tried = staged(shared.where("lead < class").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     sets = _class_sets(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"), width)
     edges = staged(_confirmed(tried, sets, percent), "links")
-    labels = components(edges)
-    named = shared.join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("key", "table", "class", F.coalesce("comp", "class").alias("comp"))
-    open_ = staged(_open(named), "open")
-    about = classes.select("class", "n", "parity", "half")
-    small = _small_pairs(open_.where(F.col("size") <= SMALL).join(about, "class"), percent, halves)
-    more = small
-    large = open_.where(F.col("size") > SMALL).select("class", "comp").distinct()
-    if not large.isEmpty():
-        rare = staged(rare_pairs(sets.join(large, "class"), percent), "rare")
-        side = lambda x: about.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-        more = small.union(rare.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", percent)).select("a", "b"))
-    found = staged(_confirmed(staged(more.join(tried, ["a", "b"], "left_anti").distinct(), "more"), sets, percent), "links")
+    comp_of = _relabelled(staged(shared.select("class", F.col("class").alias("comp")).distinct(), "comps"), components(edges))
+    about, done = classes.select("class", "n", "parity", "half"), [tried]
+    for turn in range(ROUNDS + 1):
+        open_ = staged(_open(shared.join(comp_of, "class")), "open")
+        large = open_.where(F.col("size") > SMALL)
+        if turn == ROUNDS or large.isEmpty():
+            break
+        pairs = staged(_untried(_lead_pairs(large, turn, about, percent), done), "pairs")
+        done.append(pairs)
+        found = staged(_confirmed(pairs, sets, percent), "links")
+        if found.isEmpty():
+            break
+        comp_of = _merged(comp_of, found)
+        released(open_, found)
+    more = _small_pairs(open_.where(F.col("size") <= SMALL).join(about, "class"), percent, halves)
+    few = large.select("class", "comp").distinct()
+    if not few.isEmpty():
+        rare = staged(rare_pairs(sets.join(few, "class"), percent), "rare")
+        more = more.union(_those_that_may(rare, about, percent))
+    found = staged(_confirmed(staged(_untried(more.distinct(), done), "more"), sets, percent), "links")
     if not found.isEmpty():
-        labels = components(edges.union(found))
+        comp_of = _merged(comp_of, found)
     # classes, and the ids that have several rows, give the components of doc_ids
-    comp = classes.select("class", "s1", "s2", "rep").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("s1", "s2", "rep", F.coalesce("comp", "class").alias("comp"))
-    low = comp.groupBy("comp").agg(F.min("rep").alias("component"))
-    named = staged(linked.select("doc_id", "s1", "s2").join(comp, ["s1", "s2"]).join(low, "comp").select("doc_id", "component").distinct(), "named")
-    released(shared, tried, sets, edges, open_, found)
+    low = comp_of.join(classes.select("class", "rep"), "class").groupBy("comp").agg(F.min("rep").alias("low"))
+    named = staged(comp_of.join(low, "comp").select("class", "low"), "low")
+    comp = classes.select("class", "s1", "s2", "rep").join(named, "class", "left").select("s1", "s2", F.coalesce("low", "rep").alias("component"))
+    named = staged(linked.select("doc_id", "s1", "s2").join(comp, ["s1", "s2"]).select("doc_id", "component").distinct(), "named")
+    released(shared, sets, edges, open_, found, *done)
     again = named.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component").alias("component"))
     if not again.where("k > 1").isEmpty():
         merged = components(named.join(again.where("k > 1").select("doc_id", F.col("component").alias("b")), "doc_id").select(F.col("component").alias("a"), "b"))
