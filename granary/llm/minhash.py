@@ -187,9 +187,10 @@ def _those_that_may(pairs: DataFrame, about: DataFrame, percent: int) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
 
 
-def _lead_pairs(open_: DataFrame, turn: int, about: DataFrame, percent: int) -> DataFrame:
-    """a, b: the members of open buckets, each with one of its bucket in another component that the turn picks."""
-    open_ = open_.select("key", "class", "comp")
+def _lead_pairs(open_: DataFrame, turn: int, halves: int, about: DataFrame, percent: int) -> DataFrame:
+    """a, b: the members of open buckets, each with one of its bucket in another component that the turn picks. A turn looks
+    at its part of the tables, as members of one group meet in most."""
+    open_ = open_.where(F.floor(F.col("table") / halves) % ROUNDS == turn).select("key", "class", "comp")
     drawn = open_.withColumn("draw", F.xxhash64("class", F.lit(turn)))
     lead = drawn.groupBy("key").agg(F.min("draw").alias("draw"))
     lead = drawn.join(lead, ["key", "draw"]).select("key", F.col("class").alias("lead"), F.col("comp").alias("own"))
@@ -251,13 +252,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
         large = open_.where(F.col("size") > SMALL)
         if turn == ROUNDS or large.isEmpty():
             break
-        pairs = staged(_untried(_lead_pairs(large, turn, about, percent), done), "pairs")
+        pairs = staged(_untried(_lead_pairs(large, turn, halves, about, percent), done), "pairs")
         done.append(pairs)
         found = staged(_confirmed(pairs, sets, percent), "links")
-        if found.isEmpty():
+        links = found.count()
+        if links:
+            comp_of = _merged(comp_of, found)
+        if 10 * links < pairs.count():  # what is left isn't growing together
+            open_ = staged(_open(shared.join(comp_of, "class")), "open")
+            large = open_.where(F.col("size") > SMALL)
             break
-        comp_of = _merged(comp_of, found)
-        released(open_, found)
     more = _small_pairs(open_.where(F.col("size") <= SMALL).join(about, "class"), percent, halves)
     few = large.select("class", "comp").distinct()
     if not few.isEmpty():

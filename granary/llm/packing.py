@@ -22,8 +22,8 @@ from .common import mapped, running, staged, sub_bits
 
 #: Tokens of a sequence, tokens of a length class, id that ends a document.
 TOKENS, GRAIN, END = 2048, 8, 1
-#: Tokenized words kept in memory by a Python worker (about 200 MB).
-CACHE = 1_000_000
+#: Tokenized words kept in memory by a Python worker (about 120 MB).
+CACHE = 600_000
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -110,7 +110,8 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, the same as the tokenizer's.
 
-    Tokens don't cross words, so each word is tokenized once and remembered, up to a bound. Texts with characters whose words this
+    Tokens don't cross words, so each word is tokenized once and remembered, up to a bound: of two halves the older one goes when the
+    younger is full, and words that are met again move up. Texts with characters whose words this
     module can't tell, or with the start of a special token, are cut at white space alone, at which the tokenizer
     always cuts.
     """
@@ -119,7 +120,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(file), {}, {}
 
     def words(self, text: str) -> list[str]:
         if _ODD.search(text) or "<|" in text:
@@ -128,10 +129,13 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self.words(t or "") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set().union(*split))
+        missing = set().union(*split).difference(self.known)
+        if len(self.known) + len(missing) > CACHE // 2:
+            self.known, self.old = {}, self.known
+            missing = set().union(*split)
+        again = missing.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        new = list(missing.difference(again))
         for at in range(0, len(new), 4096):
             for w, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
