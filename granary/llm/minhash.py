@@ -30,7 +30,7 @@ SKETCH_BITS = 10
 #: Classes of an open bucket whose pairs are made at once; those of larger ones are joined on their rarest shingles.
 SMALL = 16
 #: Rounds at most in which the members of large open buckets are held against one of them.
-ROUNDS = 4
+ROUNDS = 2
 #: Ids up to this many (about 2 MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 
@@ -206,7 +206,7 @@ def _small_pairs(open_: DataFrame, percent: int, halves: int) -> DataFrame:
 
 
 def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs across components of sets (class, comp, s) that may be similar enough, by prefixes of their rarest shingles.
+    """a, b: the pairs across components of sets (class, comp, s, parity) that may be similar enough, by prefixes of their rarest shingles.
 
     Shingles are ordered by the number of sets that have them; those of a single component come first, as they pair nothing. Of sets
     x and y, x no larger, that share t / (1 + t) * (|x| + |y|) shingles, one of these is among the first |x| - 2t / (1 + t) * |x| + 1 of x
@@ -219,11 +219,12 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     # place from 1; in whole numbers: t = percent / 100
     place = met.withColumn("place", F.col("n") - F.col("k") + F.col("rank")).drop("rank", "k", "often")
     place = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    side = lambda x, df: df.select("shingle", F.col("class").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"at{x}"))
+    place = place.join(sets.select("class", "parity"), "class")
+    side = lambda x, df: df.select("shingle", F.col("class").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"at{x}"), F.col("parity").alias(f"p{x}"))
     index = side("a", place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) + 1
-    may = (F.col("ca") != F.col("cb")) & smaller & (100 * F.col("na") >= percent * F.col("nb")) & ((100 + percent) * left >= percent * (F.col("na") + F.col("nb")))
+    may = (F.col("ca") != F.col("cb")) & smaller & (100 * F.col("na") >= percent * F.col("nb")) & ((100 + percent) * left >= percent * (F.col("na") + F.col("nb"))) & _may_link("a", "b", percent)
     return index.join(side("b", place), "shingle").where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -265,8 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     more = _small_pairs(open_.where(F.col("size") <= SMALL).join(about, "class"), percent, halves)
     few = large.select("class", "comp").distinct()
     if not few.isEmpty():
-        rare = staged(rare_pairs(sets.join(few, "class"), percent), "rare")
-        more = more.union(_those_that_may(rare, about, percent))
+        more = more.union(rare_pairs(sets.join(few, "class").join(about.select("class", "parity"), "class"), percent))
     found = staged(_confirmed(staged(_untried(more.distinct(), done), "more"), sets, percent), "links")
     if not found.isEmpty():
         comp_of = _merged(comp_of, found)

@@ -22,8 +22,8 @@ from .common import mapped, running, staged, sub_bits
 
 #: Tokens of a sequence, tokens of a length class, id that ends a document.
 TOKENS, GRAIN, END = 2048, 8, 1
-#: Tokenized words kept in memory by a Python worker (about 120 MB).
-CACHE = 600_000
+#: Tokenized words kept in memory by a Python worker (about 120 MB), and words that are tokenized at once.
+CACHE, AT_ONCE = 600_000, 8192
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -104,41 +104,57 @@ def patterns(demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tupl
 #: letters that are one code point, without the dotted capital I.
 _ODD = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u2018\u2019\u201c\u201d\u2013\u2014\u2026]")
 #: The tokenizer's words within such text: endings after an apostrophe, runs of letters, digits one by one, runs of the rest.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_WORDS = re.compile(r"[^\W\d_]+|\d|'s|'t|'re|'ve|'m|'ll|'d|(?:[^\s\w]|_)+")
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, the same as the tokenizer's.
 
-    Tokens don't cross words, so each word is tokenized once and remembered, up to a bound: of two halves the older one goes when the
-    younger is full, and words that are met again move up. Texts with characters whose words this
+    Tokens don't cross words, so each word is tokenized once and remembered, up to a bound. New words are tokenized as one text, and
+    its ids are cut where a token ends a word. Texts with characters whose words this
     module can't tell, or with the start of a special token, are cut at white space alone, at which the tokenizer
     always cuts.
     """
 
     def __init__(self, file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(file), {}, {}
-
-    def words(self, text: str) -> list[str]:
-        if _ODD.search(text) or "<|" in text:
-            return text.translate(SPACES).split(" ")
-        return _WORDS.findall(text.lower())
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        # the same model for what is a lower-case word already
+        self.plain = Tokenizer.from_file(file)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def learn(self, words: list[str], cut: bool) -> None:
+        """Remembers the ids of words; with `cut` each is a single word to the tokenizer."""
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            if cut and self.ends is not None:
+                ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+                ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(ends) == len(part):
+                    raw, ends = ids.tobytes(), ends.tolist()
+                    self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+                    continue
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t or "") for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > CACHE // 2:
-            self.known, self.old = {}, self.known
-            missing = set().union(*split)
-        again = missing.intersection(self.old)
-        self.known.update((w, self.old[w]) for w in again)
-        new = list(missing.difference(again))
-        for at in range(0, len(new), 4096):
-            for w, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        split, words, chunks = [], set(), set()
+        for t in texts:
+            odd = t and (_ODD.search(t) or "<|" in t)
+            split.append((t.translate(SPACES).split(" ") if odd else _WORDS.findall(t.lower())) if t else [])
+            (chunks if odd else words).update(split[-1])
+        if len(self.known) + len(words) + len(chunks) > CACHE:
+            self.known = {}
+        self.learn(list(words.difference(self.known)), True)
+        self.learn(list(chunks.difference(self.known)), False)
         find = self.known.__getitem__
         return [b"".join(map(find, words)) for words in split]
 

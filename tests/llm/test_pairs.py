@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from granary.llm import linededup, minhash
 from granary.llm.common import WordIds, shingles
 
@@ -91,9 +93,9 @@ def test_templates_match_brute_force(spark, monkeypatch):
 
 def test_rare_pairs_lose_no_link(spark):
     rng = random.Random(6)
-    base = [rng.randrange(10**6) for _ in range(40)]
-    sets = [sorted({*rng.sample(base, rng.randint(20, 40)), *(rng.randrange(10**6) for _ in range(rng.randint(0, 6)))}) for _ in range(150)]
-    df = spark.createDataFrame([(i, i // 3, s) for i, s in enumerate(sets)], "class long, comp long, s array<long>")
+    base = [rng.randrange(2**63) for _ in range(40)]
+    sets = [sorted({*rng.sample(base, rng.randint(20, 40)), *(rng.randrange(2**63) for _ in range(rng.randint(0, 6)))}) for _ in range(150)]
+    df = spark.createDataFrame([(i, i // 3, s, minhash._parity(np.array(s, np.uint64)).tolist()) for i, s in enumerate(sets)], "class long, comp long, s array<long>, parity array<long>")
     got = {(r.a, r.b) for r in minhash.rare_pairs(df, 80).collect()}
     links = {(a, b) for b in range(150) for a in range(b) if a // 3 != b // 3 and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
     assert links and links <= got
