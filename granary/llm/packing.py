@@ -120,17 +120,24 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        self.file, self.known = file, {}
         # the same model for what is a lower-case word already
         self.plain = Tokenizer.from_file(file)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.plain.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.plain.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The file's tokenizer itself, for texts that are not made of plain words."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def learn(self, words: list[str], cut: bool) -> None:
         """Remembers the ids of words; with `cut` each is a single word to the tokenizer."""
         for at in range(0, len(words), AT_ONCE):
