@@ -98,7 +98,7 @@ def running(df: DataFrame, group: list[str], order: str, value: Column, out: str
 class WordIds(dict):
     """64-bit ids of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
 
