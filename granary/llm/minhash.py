@@ -215,16 +215,17 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     each = sets.select("class", "comp", F.size("s").alias("n"), F.explode("s").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle", "often")
     of_set = Window.partitionBy("class")
-    met = each.join(often, "shingle").withColumns({"rank": F.row_number().over(of_set.orderBy("often", "shingle")), "k": F.count("*").over(of_set)})
+    met = each.join(often, "shingle").withColumns({"rank": F.row_number().over(of_set.orderBy("often", "shingle")), "k": F.count("*").over(of_set), "prev": F.lag("shingle").over(of_set.orderBy("often", "shingle"))})
     # place from 1; in whole numbers: t = percent / 100
     place = met.withColumn("place", F.col("n") - F.col("k") + F.col("rank")).drop("rank", "k", "often")
     place = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     place = place.join(sets.select("class", "parity"), "class")
-    side = lambda x, df: df.select("shingle", F.col("class").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"at{x}"), F.col("parity").alias(f"p{x}"))
+    side = lambda x, df: df.select("shingle", F.col("class").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"at{x}"), F.col("parity").alias(f"p{x}"), F.col("prev").alias(f"prev{x}"))
     index = side("a", place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) + 1
     may = (F.col("ca") != F.col("cb")) & smaller & (100 * F.col("na") >= percent * F.col("nb")) & ((100 + percent) * left >= percent * (F.col("na") + F.col("nb"))) & _may_link("a", "b", percent)
+    may = may & F.coalesce(F.col("preva") != F.col("prevb"), F.lit(True))  # where the shingles before are the same the two have met there
     return index.join(side("b", place), "shingle").where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
