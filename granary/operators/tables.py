@@ -52,7 +52,9 @@ def _table(df: DataFrame, rows: Rows, schema: str, mode: str, limits: Limits | N
             if content is None:
                 raise FormatError("no bytes")
             yield from rows(content, _context(limits, units, secret))
-        except ArchiveError as e:
+        except Exception as e:
+            # whatever a reader trips over is the fault of one file: it gets a typed row like any other
+            e = e if isinstance(e, ArchiveError) else ArchiveError(f"{type(e).__name__}: {e}")
             if expected and "needs" in e.fields:
                 e = MissingVolumeError(f"a part is missing: {expected}", expected=expected)
             if mode == "FAILFAST":

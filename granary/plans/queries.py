@@ -6,6 +6,7 @@ way, in pieces of bounded size: rows are dealt by a hash of their key into `part
 
 from __future__ import annotations
 
+import io
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import columns, rpm
+from ..functions import columns, register, rpm
 from ..operators import tables
 from . import authoring
 
@@ -221,6 +222,58 @@ def members_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.members(**e).groupBy("format").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("is_safe_path").alias("safe"))
 
 
+def _rewritten(format: str, write: Callable[[str, list[tuple[str, bytes]]], bytes]) -> Callable[[SparkSession, str], DataFrame]:
+    """Digests of all documents out of archives that `write` makes."""
+    return lambda spark, sf_dir: _digests(tables.contents(_doc_archives(spark, sf_dir, write), format))
+
+
+def _zip_as_it_comes(members: list[tuple[str, bytes]], seekable: bool, zip64: bool) -> bytes:
+    """A ZIP archive whose sizes follow the data, as a pipe's writer leaves them, or in ZIP64 fields."""
+    out = io.BytesIO()
+
+    class Pipe(io.RawIOBase):
+        writable = lambda self: True
+
+        def write(self, data) -> int:
+            return out.write(data)
+
+    with zipfile.ZipFile(out if seekable else Pipe(), "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members:
+            with z.open(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), "w", force_zip64=zip64) as f:
+                f.write(data)
+    return out.getvalue()
+
+
+def _entry_sizes(format: str, write) -> Callable[[SparkSession, str], DataFrame]:
+    """Headers alone: a member's number and size."""
+    return lambda spark, sf_dir: tables.entries(_doc_archives(spark, sf_dir, write), format).select(_id().alias("doc_id"), F.col("size").alias("n_bytes"), "is_safe_path")
+
+
+def _verified(format: str, write) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = tables.verify(_doc_archives(spark, sf_dir, write), format)
+        return v.agg(F.sum("members").alias("members"), F.sum("output_bytes").alias("bytes"), F.min("ok").alias("ok"))
+
+    return run
+
+
+def deb_long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members whose names don't fit a tar header."""
+    d = _docs(spark, sf_dir)
+    name = F.concat_ws("/", "source", F.repeat(F.lit("deep/"), 40), F.concat("doc_id", F.lit(".txt")))
+    return _digests(tables.contents(_packed(d, name, F.col("text"), lambda _, m: authoring.deb_archive(m), F.col("doc_id")), "deb").where("name <> 'control'"))
+
+
+def sql_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table functions from SQL."""
+    register(spark)
+    a = _doc_archives(spark, sf_dir, lambda _, m: authoring.zip_archive(m))
+    return _digests(spark.sql("SELECT e.* FROM {files} f, LATERAL archive_contents(f.content, 'zip') e", files=a))
+
+
+_SIZES = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, true AS is_safe_path FROM documents"
+_TOTALS = "SELECT count(*) AS members, CAST(sum(strlen(text)) AS BIGINT) AS bytes, true AS ok FROM documents"
+
 _EVENTS = "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -248,6 +301,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_info": stream_info,
     "safe_paths": safe_paths,
     "members_view": members_view,
+    "zip_sfx": _rewritten("zip", lambda _, m: b"MZ program " * 40 + authoring.zip_archive(m)),
+    "zip_descriptors": _rewritten("zip", lambda _, m: _zip_as_it_comes(m, False, False)),
+    "zip_zip64": _rewritten("zip", lambda _, m: _zip_as_it_comes(m, True, True)),
+    "sevenzip_sfx": _rewritten("7z", lambda _, m: b"MZ program " * 40 + authoring.sevenzip_archive(m)),
+    "sevenzip_entries": _entry_sizes("7z", lambda _, m: authoring.sevenzip_archive(m)),
+    "rpm_entries": _entry_sizes("rpm", lambda path, m: authoring.rpm_archive(path, m)),
+    "arj_entries": _entry_sizes("arj", lambda _, m: authoring.arj_archive(m)),
+    "cpio_verify": _verified("cpio", lambda _, m: authoring.cpio_archive(m, "crc")),
+    "rpm_verify": _verified("rpm", lambda path, m: authoring.rpm_archive(path, m)),
+    "arj_verify": _verified("arj", lambda _, m: authoring.arj_archive(m)),
+    "sevenzip_verify": _verified("7z", lambda _, m: authoring.sevenzip_archive(m)),
+    "deb_long_names": deb_long_names,
+    "sql_contents": sql_contents,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -265,4 +331,4 @@ ORACLE_SQL: dict[str, str] = {
     "stream_info": "SELECT 'zstd' AS format, CAST(2 AS BIGINT) AS least, CAST(2 AS BIGINT) AS most, CAST(0 AS BIGINT) AS skippable",
     "safe_paths": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'unc' WHEN 1 THEN 'traversal' WHEN 2 THEN 'drive' WHEN 4 THEN 'empty' END AS reason FROM pages",
     "members_view": "SELECT f.format, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, true AS safe FROM documents, (VALUES ('zip'), ('cpio'), ('arj')) f(format) GROUP BY f.format",
-} | dict.fromkeys(["zip_stored", "zip_deflate", "zip_bzip2", "zip_lzma", "deb_contents", "cpio_newc", "cpio_crc", "cpio_odc", "cpio_binary_le", "cpio_binary_be", "rpm_contents", "sevenzip_contents", "sevenzip_volumes", "arj_contents"], _DIGESTS)
+} | dict.fromkeys(["zip_stored", "zip_deflate", "zip_bzip2", "zip_lzma", "deb_contents", "cpio_newc", "cpio_crc", "cpio_odc", "cpio_binary_le", "cpio_binary_be", "rpm_contents", "sevenzip_contents", "sevenzip_volumes", "arj_contents", "zip_sfx", "zip_descriptors", "zip_zip64", "sevenzip_sfx", "deb_long_names", "sql_contents"], _DIGESTS) | dict.fromkeys(["sevenzip_entries", "rpm_entries", "arj_entries"], _SIZES) | dict.fromkeys(["cpio_verify", "rpm_verify", "arj_verify", "sevenzip_verify"], _TOTALS)

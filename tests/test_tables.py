@@ -154,3 +154,18 @@ def test_path_policy_column_is_the_function(spark, names):
     df = spark.createDataFrame([(n,) for n in [*names, "", None, "..", "a/..", "..a/b", "C:x", "//h/s"]], "name string")
     for r in df.select("name", functions.unsafe_path_reason(df.name).alias("got")).collect():
         assert r.got == unsafe_reason(r.name)
+
+
+def test_whatever_a_reader_trips_over_is_a_typed_row(spark):
+    from granary import schemas
+    from granary.operators import tables
+
+    def rows(content, ctx):
+        yield {"ok": True, "members": 1, "output_bytes": 0}
+        if content == b"bad":
+            [][1]
+
+    df = _files(spark, good=b"good", bad=b"bad")
+    out = tables._table(df, rows, schemas.VERIFY, "PERMISSIVE", None, 1000, None).collect()
+    assert {(r.path, r.error and r.error.kind) for r in out} == {("bad", "internal"), ("bad", None), ("good", None)}
+    assert tables._table(df, rows, schemas.VERIFY, "DROPMALFORMED", None, 1000, None).count() == 2
