@@ -19,7 +19,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WordIds, clean, mapped, mixed, released, shingles, staged
 
@@ -27,6 +26,8 @@ from .common import WordIds, clean, mapped, mixed, released, shingles, staged
 HALVES, ROWS, WIDTH = 8, 2, 5
 #: A sketch has 2^SKETCH_BITS bits.
 SKETCH_BITS = 10
+#: Counts that tell rare shingles from common ones: 2^COUNT_BITS of them (1 MB) go to the driver and to every task.
+COUNT_BITS = 16
 #: Classes of an open bucket whose pairs are made at once; those of larger ones are joined on their rarest shingles.
 SMALL = 16
 #: Rounds at most in which the members of large open buckets are held against one of them.
@@ -208,18 +209,34 @@ def _small_pairs(open_: DataFrame, percent: int, halves: int) -> DataFrame:
 def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs across components of sets (class, comp, s, parity) that may be similar enough, by prefixes of their rarest shingles.
 
-    Shingles are ordered by the number of sets that have them; those of a single component come first, as they pair nothing. Of sets
+    Shingles are ordered by about how many sets have them, as a table of 2^COUNT_BITS counts by their hash says: any order that is the
+    same for all sets is right, and a rare shingle is early in it. Of sets
     x and y, x no larger, that share t / (1 + t) * (|x| + |y|) shingles, one of these is among the first |x| - 2t / (1 + t) * |x| + 1 of x
-    and the first |y| - t * |y| + 1 of y. Pairs that can't share enough after the one that they meet at aren't made.
+    and the first |y| - t * |y| + 1 of y. Pairs that can't share enough after the one that they meet at aren't made, nor those that
+    have met at the shingle before.
     """
-    each = sets.select("class", "comp", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle", "often")
-    of_set = Window.partitionBy("class")
-    met = each.join(often, "shingle").withColumns({"rank": F.row_number().over(of_set.orderBy("often", "shingle")), "k": F.count("*").over(of_set), "prev": F.lag("shingle").over(of_set.orderBy("often", "shingle"))})
-    # place from 1; in whole numbers: t = percent / 100
-    place = met.withColumn("place", F.col("n") - F.col("k") + F.col("rank")).drop("rank", "k", "often")
-    place = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    place = place.join(sets.select("class", "parity"), "class")
+    slots = F.explode(F.transform("s", lambda x: x.bitwiseAND((1 << COUNT_BITS) - 1)))
+    told = sets.select(slots.alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # 2^COUNT_BITS rows at most
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[np.array(told.column("slot"), np.int64)] = np.array(told.column("n"), np.int64)
+
+    def start():
+        def run(rows: dict[str, list]) -> dict[str, list]:
+            out = {c: [] for c in ("class", "comp", "n", "shingle", "place", "prev")}
+            for c, comp, s in zip(rows["class"], rows["comp"], rows["s"]):
+                s, n = np.array(s, np.int64), len(s)
+                first = n - -(-n * percent // 100) + 1
+                s = s[np.lexsort((s, counts[s & ((1 << COUNT_BITS) - 1)]))[:first]].tolist()
+                for k, v in zip(out, ([c] * len(s), [comp] * len(s), [n] * len(s), s, range(1, len(s) + 1), [None, *s[:-1]])):
+                    out[k] += v
+            return out
+
+        return run
+
+    place = staged(mapped(sets.select("class", "comp", "s"), start, "class long, comp long, n long, shingle long, place long, prev long"), "places")
+    # shingles of one component pair nothing
+    open_ = place.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
+    place = place.join(open_, "shingle").join(sets.select("class", "parity"), "class")
     side = lambda x, df: df.select("shingle", F.col("class").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"at{x}"), F.col("parity").alias(f"p{x}"), F.col("prev").alias(f"prev{x}"))
     index = side("a", place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
