@@ -6,6 +6,9 @@ decoding members by `entries`; `contents` gives a member's row only after all of
 
 mode: FAILFAST raises the typed error; PERMISSIVE adds a column `error` and gives what is good and then one row with the
 error; DROPMALFORMED leaves failing archives' remaining rows out.
+
+password: a column with each archive's own password (a string or bytes; null: none), before `secret`, an environment variable of
+the executors for all of them.
 """
 
 from __future__ import annotations
@@ -34,24 +37,27 @@ FLUSH_BYTES, FLUSH_ROWS = 16 << 20, 4096
 Rows = Callable[[bytes, Context], Iterator[dict]]
 
 
-def _context(limits: Limits, units: int, secret: str | None) -> Context:
-    """secret names an environment variable of the executors, so no password stands in a plan or a column."""
-    return Context(limits, Budget(units), os.environ.get(secret) if secret else None)
+def _context(limits: Limits, units: int, secret: str | None, password: str | bytes | None) -> Context:
+    """An archive's own password, or the one that `secret` names: an environment variable of the executors, so that it stands in no
+    plan and no column."""
+    return Context(limits, Budget(units), password if password is not None else os.environ.get(secret) if secret else None)
 
 
-def _table(df: DataFrame, rows: Rows, schema: str, mode: str, limits: Limits | None, units: int, secret: str | None) -> DataFrame:
+def _table(df: DataFrame, rows: Rows, schema: str, mode: str, limits: Limits | None, units: int, secret: str | None, password: str | None = None) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     limits = limits or Limits()
     schema = f"{schema}, {schemas.ERROR}" if mode == "PERMISSIVE" else schema
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    keep = [c for c in ("path", "content", "expected") if c in df.columns]
+    keep = [F.col(c) for c in ("path", "content", "expected") if c in df.columns]
+    if password is not None:
+        keep.append(F.col(password).alias("_password"))
 
-    def of(path: str | None, content: bytes | None, expected: str | None) -> Iterator[dict]:
+    def of(path: str | None, content: bytes | None, expected: str | None, own: str | bytes | None) -> Iterator[dict]:
         try:
             if content is None:
                 raise FormatError("no bytes")
-            yield from rows(content, _context(limits, units, secret))
+            yield from rows(content, _context(limits, units, secret, own))
         except Exception as e:
             # whatever a reader trips over is the fault of one file: it gets a typed row like any other
             e = e if isinstance(e, ArchiveError) else ArchiveError(f"{type(e).__name__}: {e}")
@@ -68,8 +74,8 @@ def _table(df: DataFrame, rows: Rows, schema: str, mode: str, limits: Limits | N
         for batch in batches:
             out, size = [], 0
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in keep}
-                for r in of(row["path"], row["content"], row.get("expected")):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                for r in of(row["path"], row["content"], row.get("expected"), row.get("_password")):
                     r["path"] = row["path"]
                     out.append(r)
                     size += len(r.get("content") or b"") + 100
@@ -86,14 +92,14 @@ def _of(format: str, each: Callable[[Reader], Iterator[dict]]) -> Rows:
     return lambda content, ctx: each(open_archive(content, format, ctx))
 
 
-def entries(df: DataFrame, format: str, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000) -> DataFrame:
+def entries(df: DataFrame, format: str, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000, password: str | None = None) -> DataFrame:
     """A row for each member, in archive order (`idx`)."""
-    return _table(df, _of(format, lambda a: iter(a.entries)), schemas.ENTRIES[format], mode, limits, units, secret)
+    return _table(df, _of(format, lambda a: iter(a.entries)), schemas.ENTRIES[format], mode, limits, units, secret, password)
 
 
-def archives(df: DataFrame, format: str, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000) -> DataFrame:
+def archives(df: DataFrame, format: str, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000, password: str | None = None) -> DataFrame:
     """A row for each archive: what its own headers say, its bytes and number of members."""
-    return _table(df, _of(format, lambda a: iter([a.archive | {"input_bytes": len(a.data), "entries": len(a.entries)}])), schemas.ARCHIVES[format], mode, limits, units, secret)
+    return _table(df, _of(format, lambda a: iter([a.archive | {"input_bytes": len(a.data), "entries": len(a.entries)}])), schemas.ARCHIVES[format], mode, limits, units, secret, password)
 
 
 def _contents(a: Reader, wanted: set[int] | None) -> Iterator[dict]:
@@ -102,11 +108,11 @@ def _contents(a: Reader, wanted: set[int] | None) -> Iterator[dict]:
         yield {"idx": i, "name": a.entries[i]["name"], "size": len(data), "content": data}
 
 
-def contents(df: DataFrame, format: str, idx: list[int] | None = None, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000) -> DataFrame:
+def contents(df: DataFrame, format: str, idx: list[int] | None = None, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000, password: str | None = None) -> DataFrame:
     """A row with the verified bytes of each member, or of those with the given numbers alone. Shared data is decoded once.
     7z has no rows for directories and anti-items; other formats have a row for every member."""
     wanted = None if idx is None else set(idx)
-    return _table(df, _of(format, lambda a: _contents(a, wanted)), schemas.CONTENTS, mode, limits, units, secret)
+    return _table(df, _of(format, lambda a: _contents(a, wanted)), schemas.CONTENTS, mode, limits, units, secret, password)
 
 
 def _verified(a: Reader) -> Iterator[dict]:
@@ -114,9 +120,9 @@ def _verified(a: Reader) -> Iterator[dict]:
     yield {"ok": True, "members": n, "output_bytes": a.ctx.produced}
 
 
-def verify(df: DataFrame, format: str, limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000) -> DataFrame:
+def verify(df: DataFrame, format: str, limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000, password: str | None = None) -> DataFrame:
     """A row for each archive: ok, members, output_bytes, and the error of the first check that failed."""
-    out = _table(df, _of(format, _verified), schemas.VERIFY, "PERMISSIVE", limits, units, secret)
+    out = _table(df, _of(format, _verified), schemas.VERIFY, "PERMISSIVE", limits, units, secret, password)
     return out.withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
@@ -136,13 +142,13 @@ def rpm_tags(df: DataFrame, mode: str = "FAILFAST", limits: Limits | None = None
     return _table(df, _of("rpm", lambda a: iter(a.tags())), schemas.RPM_TAGS, mode, limits, units, None)
 
 
-def folders_7z(df: DataFrame, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000) -> DataFrame:
+def folders_7z(df: DataFrame, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000, password: str | None = None) -> DataFrame:
     """A row for each 7z folder: its coder graph and sizes."""
-    return _table(df, _of("7z", lambda a: iter(a.folders())), schemas.FOLDERS_7Z, mode, limits, units, secret)
+    return _table(df, _of("7z", lambda a: iter(a.folders())), schemas.FOLDERS_7Z, mode, limits, units, secret, password)
 
 
-def pack_streams_7z(df: DataFrame, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000) -> DataFrame:
-    return _table(df, _of("7z", lambda a: iter(a.pack_streams())), schemas.PACK_STREAMS_7Z, mode, limits, units, secret)
+def pack_streams_7z(df: DataFrame, mode: str = "FAILFAST", limits: Limits | None = None, secret: str | None = None, units: int = 1_000_000_000, password: str | None = None) -> DataFrame:
+    return _table(df, _of("7z", lambda a: iter(a.pack_streams())), schemas.PACK_STREAMS_7Z, mode, limits, units, secret, password)
 
 
 def symlink_targets(df: DataFrame, format: str = "cpio", mode: str = "FAILFAST", limits: Limits | None = None, units: int = 1_000_000_000) -> DataFrame:

@@ -14,6 +14,7 @@ import struct
 import tarfile
 import zipfile
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 
@@ -109,18 +110,21 @@ def uint_7z(v: int) -> bytes:
     return b"\xff" + v.to_bytes(8, "little")
 
 
-def sevenzip_archive(members: Members, method: str = "lzma2", solid: bool = True, encode_header: bool = False) -> bytes:
-    """Copy or LZMA2 folders; empty members are empty files."""
+def sevenzip_archive(members: Members, method: str | Callable[[bytes], tuple[bytes, bytes, list[int]]] = "lzma2", solid: bool = True, encode_header: bool = False) -> bytes:
+    """Copy or LZMA2 folders, or what `method` makes of a folder's bytes: packed bytes, coders, sizes of inner outputs. Empty members are
+    empty files."""
     full = [(n, d) for n, d in members if d]
     groups = [full] if solid and full else [[m] for m in full]
 
-    def pack(data: bytes) -> tuple[bytes, bytes]:
+    def pack(data: bytes) -> tuple[bytes, bytes, list[int]]:
+        if callable(method):
+            return method(data)
         if method == "copy":
-            return data, b"\x01\x01\x00"
-        return lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 1, "dict_size": 1 << 20}]), b"\x01\x21\x21\x01\x10"
+            return data, b"\x01\x01\x00", []
+        return lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 1, "dict_size": 1 << 20}]), b"\x01\x21\x21\x01\x10", []
 
     packed = [pack(b"".join(d for _, d in g)) for g in groups]
-    body = b"".join(p for p, _ in packed)
+    body = b"".join(p for p, _, _ in packed)
 
     def streams(at: int, sizes: list[int], coders: list[bytes], unpack: list[int], subs: bytes) -> bytes:
         out = b"\x06" + uint_7z(at) + uint_7z(len(sizes)) + b"\x09" + b"".join(map(uint_7z, sizes)) + b"\x00"
@@ -130,7 +134,7 @@ def sevenzip_archive(members: Members, method: str = "lzma2", solid: bool = True
     if groups:
         subs = b"\x08\x0d" + b"".join(uint_7z(len(g)) for g in groups) + b"\x09" + b"".join(uint_7z(len(d)) for g in groups for _, d in g[:-1])
         subs += b"\x0a\x01" + b"".join(struct.pack("<I", zlib.crc32(d)) for g in groups for _, d in g) + b"\x00"
-        header += b"\x04" + streams(0, [len(p) for p, _ in packed], [c for _, c in packed], [sum(len(d) for _, d in g) for g in groups], subs)
+        header += b"\x04" + streams(0, [len(p) for p, _, _ in packed], [c for _, c, _ in packed], [n for g, (_, _, inner) in zip(groups, packed) for n in (sum(len(d) for _, d in g), *inner)], subs)
     ordered = full + [(n, d) for n, d in members if not d]
     names = b"\0" + b"".join(n.encode("utf-16-le") + b"\0\0" for n, _ in ordered)
     header += b"\x05" + uint_7z(len(ordered))
@@ -141,8 +145,8 @@ def sevenzip_archive(members: Members, method: str = "lzma2", solid: bool = True
             header += bytes([kind]) + uint_7z(len(b)) + b
     header += b"\x11" + uint_7z(len(names)) + names + b"\x00\x00"
     if encode_header:
-        p, coder = pack(header)
-        outer = b"\x17" + streams(len(body), [len(p)], [coder], [len(header)], b"")
+        p, coder, inner = pack(header)
+        outer = b"\x17" + streams(len(body), [len(p)], [coder], [len(header), *inner], b"")
         body, header = body + p, outer
     fixed = struct.pack("<QQI", len(body), len(header), zlib.crc32(header))
     return b"7z\xbc\xaf\x27\x1c\0\4" + struct.pack("<I", zlib.crc32(fixed)) + fixed + body + header

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, register, rpm
 from ..operators import tables
-from . import authoring
+from . import authoring, coded
 
 #: Rows of an archive, about.
 PER_ARCHIVE = 200
@@ -332,3 +332,7 @@ ORACLE_SQL: dict[str, str] = {
     "safe_paths": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'unc' WHEN 1 THEN 'traversal' WHEN 2 THEN 'drive' WHEN 4 THEN 'empty' END AS reason FROM pages",
     "members_view": "SELECT f.format, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, true AS safe FROM documents, (VALUES ('zip'), ('cpio'), ('arj')) f(format) GROUP BY f.format",
 } | dict.fromkeys(["zip_stored", "zip_deflate", "zip_bzip2", "zip_lzma", "deb_contents", "cpio_newc", "cpio_crc", "cpio_odc", "cpio_binary_le", "cpio_binary_be", "rpm_contents", "sevenzip_contents", "sevenzip_volumes", "arj_contents", "zip_sfx", "zip_descriptors", "zip_zip64", "sevenzip_sfx", "deb_long_names", "sql_contents"], _DIGESTS) | dict.fromkeys(["sevenzip_entries", "rpm_entries", "arj_entries"], _SIZES) | dict.fromkeys(["cpio_verify", "rpm_verify", "arj_verify", "sevenzip_verify"], _TOTALS)
+
+_MORE = coded.build(_doc_archives, _digests, _id, _packed)
+QUERIES |= _MORE[0]
+ORACLE_SQL |= _MORE[1]

@@ -17,6 +17,7 @@ from granary.formats import open_archive
 from granary.formats.streams import StreamReader, lz4_block
 from granary.limits import Budget, Context, Limits
 from granary.plans import authoring as write
+from granary.plans import coded
 
 MEMBERS = [("a/one.txt", b"hello " * 300), ("b.bin", bytes(range(256)) * 5), ("empty", b""), ("é.txt", "naïve".encode())]
 ARCHIVES = {
@@ -29,7 +30,10 @@ ARCHIVES = {
 }
 
 
-@pytest.mark.parametrize("name", ARCHIVES)
+ARCHIVES |= {f"7z-{name}": ("7z", write.sevenzip_archive([(n, coded.CODE + d if d else d) for n, d in MEMBERS], pack)) for name, pack in coded.SEVENZIP.items()}
+
+
+@pytest.mark.parametrize("name", [n for n in ARCHIVES if n[3:] not in coded.SEVENZIP])
 def test_round_trip(name):
     format, data = ARCHIVES[name]
     a = open_archive(data, format)
@@ -39,6 +43,29 @@ def test_round_trip(name):
     assert [e["idx"] for e in a.entries] == list(range(len(a.entries)))
 
 
+@pytest.mark.parametrize("name", coded.SEVENZIP)
+def test_7z_coders(name):
+    a = open_archive(ARCHIVES[f"7z-{name}"][1], "7z")
+    assert {a.entries[i]["name"]: b for i, b in a.members()} == {n: coded.CODE + d if d else d for n, d in MEMBERS}
+
+
+@pytest.mark.parametrize("name", list(filters._NATIVE))
+def test_branch_filters_have_work(name):
+    middle = lzma.decompress(coded.SEVENZIP[name](coded.CODE)[0], lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 0}])
+    assert middle != coded.CODE and filters.branch(name, middle) == coded.CODE
+
+
+@pytest.mark.parametrize("write_zip", [coded.zip_traditional, coded.zip_aes])
+def test_encrypted_zip(write_zip):
+    data = write_zip(MEMBERS, b"pw")
+    a = open_archive(data, "zip", Context(password="pw"))
+    assert {a.entries[i]["name"]: b for i, b in a.members()} == dict(MEMBERS)
+    with pytest.raises(errors.PasswordRequiredError):
+        open_archive(data, "zip").verify()
+    with pytest.raises(errors.WrongPasswordOrCorruptError):
+        open_archive(data, "zip", Context(password="pv")).verify()
+
+
 @pytest.mark.parametrize("name", ARCHIVES)
 def test_every_cut_is_a_typed_error(name):
     format, data = ARCHIVES[name]
