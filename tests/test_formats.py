@@ -207,6 +207,22 @@ def test_arm64_undoes_the_encoder():
     assert filters.arm64(enc.astype("<u4").tobytes() + b"abc") == words.tobytes() + b"abc"
 
 
+def test_arm64_is_liblzmas():
+    """liblzma's own filter, reached through an .xz stream of one stored chunk (Python's filter chains don't know it)."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 4000, dtype=np.uint8)
+    data[3::4] = rng.choice(np.array([0x94, 0x97, 0x90, 0xB0, 0xD0, 0xF0, 0x11], np.uint8), 1000)
+    sealed = lambda x: x + struct.pack("<I", zlib.crc32(x))
+    chunk = b"\x01" + struct.pack(">H", len(data) - 1) + data.tobytes() + b"\0"
+    head = b"\xfd7zXZ\0" + sealed(b"\0\x01") + sealed(b"\x02\x01\x0a\0\x21\x01\x10\0")
+    try:
+        want = lzma.LZMADecompressor(lzma.FORMAT_XZ).decompress(head + chunk)
+    except lzma.LZMAError:
+        pytest.skip("liblzma before 5.4")
+    got = filters.arm64(data.tobytes())
+    assert len(want) > 3900 and got[: len(want)] == want and got != data.tobytes()
+
+
 def test_delta_and_swap():
     data = bytes(range(200)) * 3
     x = np.frombuffer(data, np.uint8)

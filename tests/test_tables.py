@@ -13,6 +13,7 @@ from granary import functions, operators, sources, streaming
 from granary.limits import Limits
 from granary.paths import unsafe_reason
 from granary.plans import authoring as write
+from granary.plans import coded
 
 MEMBERS = [("a/one.txt", b"hello " * 30), ("b.bin", bytes(range(256))), ("../up", b"x")]
 
@@ -21,6 +22,16 @@ def _files(spark, **named):
     return spark.createDataFrame([(k, v) for k, v in named.items()], "path string, content binary")
 
 
+def test_passwords_by_archive(spark):
+    """A column holds each archive's own password; a null one means none, and an archive that needs none ignores it."""
+    rows = [("one", coded.zip_aes(MEMBERS, b"p1"), "p1"), ("two", coded.zip_traditional(MEMBERS, b"p2"), "p2"), ("wrong", coded.zip_aes(MEMBERS, b"p3"), "p4"), ("none", coded.zip_aes(MEMBERS, b"p5"), None), ("open", write.zip_archive(MEMBERS), "p6")]
+    df = spark.createDataFrame(rows, "path string, content binary, pw string")
+    got = {(r.path, r.name): bytes(r.content) for r in operators.contents(df, "zip", mode="PERMISSIVE", password="pw").where("error is null").collect()}
+    assert got == {(p, n): b for p in ("one", "two", "open") for n, b in MEMBERS}
+    told = {r.path: r.error.kind if r.error else None for r in operators.verify(df, "zip", password="pw").collect()}
+    assert told == {"one": None, "two": None, "open": None, "wrong": "wrong_password_or_corrupt", "none": "password_required"}
+
+
 def test_entries_contents_verify(spark):
     df = _files(spark, one=write.zip_archive(MEMBERS), two=write.zip_archive(MEMBERS[:1]))
     e = operators.entries(df, "zip")
