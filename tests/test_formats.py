@@ -4,6 +4,7 @@ import hashlib
 import lzma
 import struct
 import tarfile
+import time
 import zipfile
 import zlib
 
@@ -182,6 +183,41 @@ def test_aes_published_vectors():
         assert out.tobytes().hex() == want and (aes.decrypt(out, keys) == plain).all()
 
 
+@pytest.mark.parametrize("native", [True, False])
+def test_cbc_published_vectors(native, monkeypatch):
+    """NIST SP 800-38A, F.2.1, F.2.3 and F.2.5; long data is the same in both ways and comes back."""
+    if not native:
+        monkeypatch.setattr(aes, "_openssl", lambda: None)
+    plain = bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e51")
+    for key, want in (
+        ("2b7e151628aed2a6abf7158809cf4f3c", "7649abac8119b246cee98e9b12e9197d5086cb9b507219ee95db113a917678b2"),
+        ("8e73b0f7da0e6452c810f32b809079e562f8ead2522c6b7b", "4f021db243bc633d7178183a9fa071e8b4d9ada9ad7dedf4e5e738763f69145a"),
+        ("603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4", "f58c4c04d6e5f1ba779eabfb5f7bfbd69cfc4e967edb808d679f777bc6702c7d"),
+    ):
+        assert aes.cbc_encrypt(plain, bytes.fromhex(key), bytes(range(16))).hex() == want
+    long, key = np.random.default_rng(1).bytes(1 << 16), bytes(range(32))
+    sealed = aes.cbc_encrypt(long, key, bytes(16))
+    assert sealed == aes._cbc_words(long, key, bytes(16)) and aes.cbc_decrypt(sealed, key, bytes(16)) == long
+    assert aes.cbc_encrypt(b"", key, bytes(16)) == b""
+    with pytest.raises(ValueError):
+        aes.cbc_encrypt(b"short", key, bytes(16))
+
+
+@pytest.mark.parametrize("native", [True, False])
+def test_7z_aes_is_sealed_in_time(native, monkeypatch):
+    """A folder of 400 KB that no packer makes smaller: 25,000 blocks, of which each took 0.7 ms as an array of its own."""
+    if not native:
+        monkeypatch.setattr(aes, "_openssl", lambda: None)
+    members = [("a", np.random.default_rng(2).bytes(400_000)), ("empty", b""), ("b", b"text " * 99)]
+    began = time.process_time()
+    data = write.sevenzip_archive(members, coded._aes_7z("pw"))
+    assert time.process_time() - began < 8
+    a = open_archive(data, "7z", Context(password="pw"))
+    assert {a.entries[i]["name"]: b for i, b in a.members()} == dict(members)
+    with pytest.raises(errors.WrongPasswordOrCorruptError):
+        open_archive(data, "7z", Context(password="pv")).verify()
+
+
 def test_7z_key_is_the_definition():
     h = hashlib.sha256()
     for i in range(1 << 6):
