@@ -4,7 +4,8 @@ The lexer looks at every `:` and `=` of a text, reads the name before it and the
 prefixes, escapes, one or three quotes, block scalars of configuration files, bare words, names, joined by + or .), and keeps what names
 were given, so a secret that is put together from constants is seen whole. What a name stands for is kept as references to the
 literals that it is made of, never as a joined text, so names that refer to themselves or to one another cost a reference each.
-A value is reported when its target's name is sensitive and it looks like a secret.
+A value is reported when its target's name is sensitive and it looks like a secret. Of a value of several literals that is told from
+facts about each of them, which give what the joined text would give, however long that is.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -32,15 +34,13 @@ NAME_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1
 PLACEHOLDERS = ("changeme", "example", "placeholder", "xxxx", "redacted", "${", "{{", "%(", "***")
 PLACEHOLDER_WORDS = ("password", "passwd", "secret", "token", "api", "key", "my", "here", "none", "null", "true", "false", "todo", "dummy")
 LEAST_SCORE, LEAST_CHARS = 0.5, 8
-#: Of a value that is put together of more characters than these only the literals that stand at its own place are scored, each by
-#: itself; so a text costs at most so much for each of its values.
-JOINED = 4096
+#: A mark that runs over the end of a literal has at most so many characters on either side.
+_EDGE = max(map(len, PLACEHOLDERS)) - 1
 
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NAME = re.compile(r"[A-Za-z_$][\w$.\-]*")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]#<>&|]+")
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
-_SUBSCRIPT = re.compile(r"\[[ \t]*([\"'])([\w$.\-]+)\1[ \t]*\]\Z")
 _LIST = re.compile(rf"\[\s*(?:(?:{_STRING})\s*(?:,\s*)?)+\]")
 _LINE_ENDS = re.compile(r"[ \t]*\r?\n[ \t]*")
 _NEXT_LINE = re.compile(rf"\r?\n[ \t]+(?=(?:{_STRING})(?![ \t]*[:=])|\()")
@@ -59,24 +59,114 @@ def name_score(name: str) -> float:
     return max([NAME_PARTS.get(p, 0.0) for p in parts] + pairs + [0.0])
 
 
+def _looks(counts: Iterable[float], kinds: int) -> float:
+    """The score of so many characters of each sort and so many kinds of characters."""
+    counts = list(counts)
+    n = sum(counts)
+    entropy = -sum(p * math.log2(p) for p in (c / n for c in counts) if p)
+    return min(1.0, entropy / 3.5) * (0.4 + 0.2 * min(kinds, 3) if kinds > 1 else 0.4)
+
+
+def _kinds(value: str) -> list[bool]:
+    return [bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+
+
 def literal_score(value: str) -> float:
     """0 to 1: how much the value looks like a secret: its length, its entropy a character, and kinds of characters."""
     if len(value) < LEAST_CHARS or any(p in value.lower() for p in PLACEHOLDERS) or _NO_SECRET.fullmatch(value) or re.search(r"\s", value):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3.5) * (0.4 + 0.2 * min(kinds, 3) if kinds > 1 else 0.4)
+    return _looks(Counter(value).values(), sum(_kinds(value)))
+
+
+#: How far a value is in being made of PLACEHOLDER_WORDS alone: at the beginning of a word (_BEGIN at the value's, _AFTER after a whole
+#: word and what separates words), or in a word, told by its first letters. No word begins another, so there is one state at a time.
+_BEGIN, _AFTER = "", " "
+_STATES = [_BEGIN, _AFTER, *sorted({w[:n] for w in PLACEHOLDER_WORDS for n in range(1, len(w))})]
+_LETTERS = sorted(set("".join(PLACEHOLDER_WORDS)))
+
+
+@lru_cache(4096)
+def _letter(c: str) -> str:
+    """The letter that c is to _NO_SECRET, _AFTER for what separates words, nothing for others."""
+    return _AFTER if re.fullmatch(r"[\W_]", c, re.I) else next((x for x in _LETTERS if re.fullmatch(x, c, re.I)), "")
+
+
+_STEPS = {(s, x): _AFTER if s.strip() + x in PLACEHOLDER_WORDS else s.strip() + x for s in _STATES for x in _LETTERS if s.strip() + x in {*PLACEHOLDER_WORDS, *_STATES}} | {(_AFTER, _AFTER): _AFTER}
+
+
+class Facts:
+    """What literal_score looks at, in a form that is joined without the texts: numbers of characters, in the order of their first
+    places and in units of 2 ** scale (0 till they no longer fit a float), the lower-case edges, and where the states end."""
+
+    __slots__ = ("counts", "scale", "head", "tail", "marked", "white", "kinds", "opened", "closed", "moves")
+
+    @classmethod
+    def of(cls, text: str) -> Facts:
+        out, low = cls(), text.lower()
+        out.counts, out.scale = {c: float(n) for c, n in Counter(text).items()}, 0
+        out.head, out.tail, out.marked = low[:_EDGE], low[-_EDGE:], any(p in low for p in PLACEHOLDERS)
+        out.white, out.kinds, out.opened, out.closed = bool(re.search(r"\s", text)), _kinds(text), min(2, text.count("<")), min(2, text.count(">"))
+        out.moves = {}
+        for s in _STATES:
+            end = s
+            for c in text:
+                end = _STEPS.get((end, _letter(c)))
+                if end is None:
+                    break
+            else:
+                out.moves[s] = end
+        return out
+
+    @classmethod
+    def joined(cls, parts: list[Facts]) -> Facts:
+        out, first = cls(), parts[0]
+        for name in cls.__slots__:
+            setattr(out, name, getattr(first, name))
+        out.scale = max(f.scale for f in parts)
+        out.counts = dict(first.counts) if first.scale == out.scale else {c: n * 2.0 ** (first.scale - out.scale) for c, n in first.counts.items()}
+        for f in parts[1:]:
+            unit = 2.0 ** (f.scale - out.scale)
+            for c, n in f.counts.items():
+                out.counts[c] = out.counts.get(c, 0.0) + n * unit
+            out.marked = out.marked or f.marked or any(p in out.tail + f.head for p in PLACEHOLDERS)
+            out.head = out.head if len(out.head) == _EDGE else (out.head + f.head)[:_EDGE]
+            out.tail = (out.tail + f.tail)[-_EDGE:]
+            out.white, out.kinds = out.white or f.white, [a or b for a, b in zip(out.kinds, f.kinds)]
+            out.opened, out.closed = min(2, out.opened + f.opened), min(2, out.closed + f.closed)
+            out.moves = {s: f.moves[end] for s, end in out.moves.items() if end in f.moves}
+        if (over := math.frexp(sum(out.counts.values()))[1] - 53) > 0:
+            out.scale += over
+            out.counts = {c: n * 2.0**-over for c, n in out.counts.items()}
+        return out
+
+    def score(self) -> float:
+        """literal_score of the text, if that has LEAST_CHARS."""
+        hint = self.moves.get(_BEGIN) == _AFTER or re.match(r"your[\W_]", self.head) or self.head[0] == "<" and self.tail[-1] == ">" and self.opened == self.closed == 1
+        return 0.0 if self.marked or self.white or hint else _looks(self.counts.values(), sum(self.kinds))
 
 
 def _name_before(text: str, at: int) -> str:
     """The name that ends before position at; in `name: type =` the first of the two, in `x["name"] =` the subscript."""
 
+    def subscript(end: int) -> tuple[int, str] | None:
+        """The quoted name in the brackets of which the closing one is at end, and where the opening one is."""
+        while end and text[end - 1] in " \t":
+            end -= 1
+        start = end = end - 1
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_$.-"):
+            start -= 1
+        if not 0 < start < end or text[end] not in "\"'" or text[start - 1] != text[end]:
+            return None
+        at = start - 1
+        while at and text[at - 1] in " \t":
+            at -= 1
+        return (at - 1, text[start:end]) if at and text[at - 1] == "[" else None
+
     def word(end: int) -> tuple[int, str]:
         while end and text[end - 1] in " \t":
             end -= 1
-        if (end and text[end - 1] == "]") and (m := _SUBSCRIPT.search(text, max(0, end - 200), end)):
-            return m.start(), m[2]
+        if end and text[end - 1] == "]" and (m := subscript(end - 1)):
+            return m
         quote = end and text[end - 1] in "\"'"
         end -= bool(quote)
         start = end
@@ -95,38 +185,65 @@ def _name_before(text: str, at: int) -> str:
     return name
 
 
+class Rope:
+    """Spans of literals in order: one, or those of other ropes. `told` once they were given out."""
+
+    __slots__ = ("span", "parts", "told")
+
+    def __init__(self, span: tuple[int, int] | None, parts: tuple[Rope, ...] = ()) -> None:
+        self.span, self.parts, self.told = span, parts, False
+
+    def untold(self) -> Iterator[tuple[int, int]]:
+        """The spans that weren't given out before, by this rope or another, so all ropes of a text cost a step for each reference."""
+        todo = [self]
+        while todo:
+            r = todo.pop()
+            if not r.told:
+                r.told = True
+                if r.span:
+                    yield r.span
+                todo.extend(r.parts)
+                r.parts = ()
+
+
 class Value:
-    """What a name stands for: a literal (its text and span) or parts that are values themselves, and the number of characters of all."""
+    """What a name stands for: a literal (its text and span) or parts that are values themselves; its size is counted up to LEAST_CHARS."""
 
-    __slots__ = ("text", "span", "parts", "size", "_found")
+    __slots__ = ("text", "rope", "parts", "size", "_facts", "_score")
 
     def __init__(self, text: str = "", span: tuple[int, int] | None = None, parts: tuple[Value, ...] = ()) -> None:
-        self.text, self.span, self.parts, self._found = text, span, parts, None
-        self.size = len(text) if span else min(1 << 40, sum(p.size for p in parts))
+        self.text, self.parts, self._facts, self._score = text, parts, None, None
+        self.rope = Rope(span, tuple(p.rope for p in parts))
+        self.size = min(LEAST_CHARS, len(text) if span else sum(p.size for p in parts))
 
-    def literals(self) -> list[Value]:
-        """The literals in order, as often as they occur. None is empty, so there are no more than characters."""
-        out, todo = [], [self]
+    def facts(self) -> Facts:
+        """Told once. Of the parts only the literals are kept then, so what a name stood for before goes."""
+        todo = [self]
         while todo:
-            v = todo.pop()
-            if v.span:
-                out.append(v)
-            todo.extend(reversed(v.parts))
-        return out
-
-    def found(self) -> tuple[float, list[tuple[int, int]]]:
-        """How much the value looks like a secret, and the spans of its literals; told once."""
-        if self._found is None:
-            if self.span:
-                self._found = literal_score(self.text), [self.span]
-            elif self.size <= JOINED:
-                literals = self.literals()
-                self._found = literal_score("".join(v.text for v in literals)), [v.span for v in literals]
-            else:
-                own = [(literal_score(v.text), v.span) for v in self.parts if v.span]
-                best = max([x for x, _ in own], default=0.0)
-                self._found = best, [span for x, span in own if x == best]
-        return self._found
+            v = todo[-1]
+            if v._facts is None:
+                if missing := [p for p in v.parts if p._facts is None]:
+                    todo += missing
+                    continue
+                v._facts = Facts.of(v.text) if v.rope.span else Facts.joined([p._facts for p in v.parts])
+                v.parts = tuple(p for p in v.parts if p.rope.span)
+            todo.pop()
+        return self._facts
+
+    def score(self) -> float:
+        if self._score is None:
+            self._score = literal_score(self.text) if self.rope.span else self.facts().score() if self.size >= LEAST_CHARS else 0.0
+        return self._score
+
+    def untold(self, weight: float) -> Iterator[tuple[int, int]]:
+        """The spans, as far as not given out before, of all its literals if together they score enough for a name of so much weight, or
+        else of those literals at its own place that do by themselves."""
+        if weight * self.score() >= LEAST_SCORE:
+            yield from self.rope.untold()
+        else:
+            for p in self.parts:
+                if p.rope.span and weight * p.score() >= LEAST_SCORE:
+                    yield from p.rope.untold()
 
 
 def _unescaped(text: str) -> str:
@@ -241,8 +358,8 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     if assigns and _HINT.search(text):
         base, added = list(out), set()
         for name, value in pairs(text):
-            if value.size >= LEAST_CHARS and (n := name_score(name)) and n * value.found()[0] >= LEAST_SCORE:
-                added |= {(a, 3, b) for a, b in value.found()[1] if not any(s <= a and b <= e for s, _, e in base)}
+            if value.size >= LEAST_CHARS and (n := name_score(name)):
+                added |= {(a, 3, b) for a, b in value.untold(n) if not any(s <= a and b <= e for s, _, e in base)}
         out += added
     return sorted(out)
 
@@ -251,9 +368,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_lexed, base_sha256, spans of every row of docs (doc_id, text).
 
     spans joins kind:start:end of all spans by commas, base_sha256 digests those of the base patterns alone.
-    A null text counts as empty; texts without spans have the empty string and its digest. Work and memory follow the text also
-    where names refer to themselves or to each other: a name's value is a list of references, and of one of more than JOINED characters
-    only the literals at its own place are scored.
+    A null text counts as empty; texts without spans have the empty string and its digest. One rule holds for values of any length.
+    Work and memory follow the text, times the number of different characters of a value, also where names refer to themselves or to
+    each other: a name's value is a list of references, scored by facts about its parts.
     """
 
     def start():

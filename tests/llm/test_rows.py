@@ -170,6 +170,41 @@ def test_lexed_values(text, want):
     assert [text[a:b] for a, k, b in secrets.scan(text) if k == 3] == want
 
 
+@pytest.mark.parametrize("n", [10, 1000, 4087, 4088, 5000, 60_000])
+def test_one_rule_for_values_of_any_length(n):
+    rng = random.Random(n)
+    text = f'a = "{"".join(rng.choices("ghijkLMNOP246+", k=n))}"\nsigning_key = a + "q8T!x77zz"\n'
+    assert [b - a for a, k, b in secrets.scan(text) if k == 3] == [n, 9]
+    text = f'a = "{"g" * n * 9}"\nsigning_key = a + "q8T!x77zz" + "hello"\n'
+    assert [text[a:b] for a, k, b in secrets.scan(text) if k == 3] == ["q8T!x77zz"]
+    text = f'x["{"a" * n}_SIGNING_KEY"] = "q8T!x77zz"\n'
+    assert [text[a:b] for a, k, b in secrets.scan(text) if k == 3] == ["q8T!x77zz"]
+    lines = [f"{rng.getrandbits(256):064X}"[:40] + "+z" for _ in range(-(-n // 42))]
+    text = "private_key: |\n  ---- BEGIN KEY ----\n" + "".join(f"  {x}\n" for x in lines) + "  ---- END KEY ----\n"
+    assert [text[a:b] for a, k, b in secrets.scan(text) if k == 3] == lines
+
+
+def test_joined_facts_tell_what_the_joined_text_does():
+    rng = random.Random(5)
+    bits = ["change", "me", "exam", "ple", "<", ">", "your", "you", "r", "-", "pass", "word", "_", " ", "\u212aey", "\u017fecret", "\u0130", "ap\u0131", "tru", "E", "none", "nul", "l", "xx", "q8T", "${", "*", "**", "placeholder", "\u03a3", "m", "y", "todo", "A1b2C3d4"]
+    held = [(secrets.Value(x, (0, len(x))), x) for x in bits]
+    above = 0
+    for k in range(30_000):
+        parts = [rng.choice(held if k % 2 else held[: len(bits)]) for _ in range(rng.randrange(2, 7))]
+        value, text = secrets.Value(parts=tuple(v for v, _ in parts)), "".join(x for _, x in parts)
+        want = secrets.literal_score(text)
+        assert abs(value.score() - want) < 1e-12, text
+        above += want > 0
+        if len(text) < 6000 and k % 100 == 0:
+            held.append((value, text))
+    assert 5000 < above < 25_000
+    value = secrets.Value("q8T!x77z", (0, 8))
+    want = value.score()
+    for _ in range(5000):
+        value = secrets.Value(parts=(value, value))
+    assert abs(value.score() - want) < 1e-12
+
+
 def test_names_that_refer_to_themselves_cost_a_reference():
     import time
     import tracemalloc
