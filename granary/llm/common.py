@@ -46,6 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/granary-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    heap_returned(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(at)
@@ -53,6 +54,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes of the driver's heap that the last heap_returned() left, by application.
+_LEFT: dict[str, int] = {}
+
+
+def heap_returned(spark: SparkSession) -> None:
+    """Has the driver's JVM give memory back that it has taken but doesn't need. Planning dozens of queries makes garbage, for which the
+    JVM takes more and more heap, several times what it holds; only a full collection returns it. One runs when the heap has passed
+    half its limit, and a quarter over what the last one left."""
+    jvm = spark._jvm.java.lang.Runtime.getRuntime()
+    app = spark.sparkContext.applicationId
+    if jvm.totalMemory() > max(jvm.maxMemory() / 2, 1.25 * _LEFT.get(app, 0)):
+        jvm.gc()
+        _LEFT[app] = jvm.totalMemory()
+
+
 def released(*frames: DataFrame) -> None:
     """Deletes the files of staged tables that nothing will read again; other frames are left alone."""
     for df in frames:

@@ -15,7 +15,10 @@ a template's shingles, which all members have, don't come up.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ SMALL = 16
 ROUNDS = 2
 #: Ids up to this many (about 2 MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
+#: Edges up to this many (1.6 MB) are joined up by one task; more in rounds of joins.
+ONE_TASK = 100_000
 
 
 def _half_keys(s: np.ndarray, halves: int, rows: int) -> np.ndarray:
@@ -136,13 +141,36 @@ def _first_table(a: str, b: str, halves: int):
     return out
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, comp of all edges (a, b) in one task. A root takes the larger roots that it meets, so it is the smallest node of its own."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of the edges (a, b) reaches.
 
-    Every round a node takes the smallest label among its neighbours' and then its label's label, so long
+    Up to ONE_TASK edges are joined up by one task: a round is some ten stages, which the driver plans and compiles however few rows they
+    have. With more, every round a node takes the smallest label among its neighbours' and then its label's label, so long
     chains shorten by doubling. Labels are written to the shared folder each round.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    once = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if once.count() <= ONE_TASK:
+        labels = staged(once.coalesce(1).mapInArrow(_united, "node long, comp long"), "labels")
+        released(once)
+        return labels
+    both = staged(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    released(once)
     old = labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
@@ -281,11 +309,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
             open_ = staged(_open(shared.join(comp_of, "class")), "open")
             large = open_.where(F.col("size") > SMALL)
             break
-    more = _small_pairs(open_.where(F.col("size") <= SMALL).join(about, "class"), percent, halves)
+    more = staged(_small_pairs(open_.where(F.col("size") <= SMALL).join(about, "class"), percent, halves), "small")
+    parts = [more]
     few = large.select("class", "comp").distinct()
     if not few.isEmpty():
-        more = more.union(rare_pairs(sets.join(few, "class").join(about.select("class", "parity"), "class"), percent))
-    found = staged(_confirmed(staged(_untried(more.distinct(), done), "more"), sets, percent), "links")
+        parts.append(staged(rare_pairs(sets.join(few, "class").join(about.select("class", "parity"), "class"), percent), "rare"))
+        more = more.union(parts[-1]).distinct()
+    found = staged(_confirmed(staged(_untried(more, done), "more"), sets, percent), "links")
     if not found.isEmpty():
         comp_of = _merged(comp_of, found)
     # classes, and the ids that have several rows, give the components of doc_ids
@@ -293,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = HALVES, ro
     named = staged(comp_of.join(low, "comp").select("class", "low"), "low")
     comp = classes.select("class", "s1", "s2", "rep").join(named, "class", "left").select("s1", "s2", F.coalesce("low", "rep").alias("component"))
     named = staged(linked.select("doc_id", "s1", "s2").join(comp, ["s1", "s2"]).select("doc_id", "component").distinct(), "named")
-    released(shared, sets, edges, open_, found, *done)
+    released(shared, sets, edges, open_, found, *parts, *done)
     again = named.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component").alias("component"))
     if not again.where("k > 1").isEmpty():
         merged = components(named.join(again.where("k > 1").select("doc_id", F.col("component").alias("b")), "doc_id").select(F.col("component").alias("a"), "b"))

@@ -1,10 +1,12 @@
 """Near-dedup and line dedup against brute force."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pytest
 
-from granary.llm import linededup, minhash
+from granary.llm import common, linededup, minhash
 from granary.llm.common import WordIds, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -284,3 +286,32 @@ def test_a_doc_id_with_several_texts(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _th string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text, r.n_exact, r.n_near) for r in linededup.line_dedup(df).collect())
     assert got == sorted([(0, b, 0, 0), (1, f"{one}\n{two}", 0, 0), (1, f"{one}\n{two}", 0, 0), (1, f"{one[:-3]}xyz", 1, 0), (-1, b, 0, 0)])
+
+
+@pytest.mark.parametrize("one_task", [minhash.ONE_TASK, 0])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(minhash, "ONE_TASK", one_task)
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(i + 1, i) for i in range(1000, 1040)] + [(7, 7), (-5, 2**62)]
+    low = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in low:
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    spark.sparkContext.setJobGroup(f"components {one_task}", "")
+    got = minhash.components(spark.createDataFrame(edges, "a long, b long"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {one_task}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.node: r.comp for r in got.collect()} == low and got.count() == len(low)
+    assert jobs <= 6 or not one_task  # rounds plan and compile some ten stages each on the driver
+    assert minhash.components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
+
+
+def test_heap_is_returned_once_it_has_grown():
+    calls, total = [], [100]
+    jvm = SimpleNamespace(totalMemory=lambda: total[0], maxMemory=lambda: 1000, gc=lambda: calls.append(total[0]) or total.__setitem__(0, total[0] * 3 // 4))
+    of = SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: jvm)))), sparkContext=SimpleNamespace(applicationId="a test's own"))
+    for now in (500, 501, 600, 1000, 930, 938):
+        total[0] = now
+        common.heap_returned(of)
+    assert calls == [501, 600, 1000, 938]
